@@ -97,9 +97,11 @@ def with_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     order = written(neighbours(own.select("id", "h", "n"), ["id", "h"]), "order")
     # the beginnings of texts, each for the document before it
     half = order.select(F.col("next_id").alias("n_id"), F.col("next_h").alias("n_h"), F.col("id").alias("p_id"), F.col("h").alias("p_h"), F.expr("cast(n div 2 as int)").alias("take"))
-    heads = docs.join(half, docs.id.eqNullSafe(half.n_id) & (docs.h == half.n_h)).select("p_id", "p_h", "take", F.expr("substring(text, 1, take)").alias("begin"))
-    base = docs.withColumnsRenamed({"id": "b_id", "h": "b_h"})
-    joined = base.join(heads, base.b_id.eqNullSafe(heads.p_id) & (base.b_h == heads.p_h))
+    # both joins deal the texts by the same key, so they are shuffled once
+    own_texts = docs.join(half, docs.id.eqNullSafe(half.n_id) & (docs.h == half.n_h)).select("id", "h", "text", "p_id", "p_h", "take")
+    heads = own_texts.select("p_id", "p_h", "take", F.expr("substring(text, 1, take)").alias("begin"))
+    base = own_texts.select(F.col("id").alias("b_id"), F.col("h").alias("b_h"), "text")
+    joined = base.join(heads, base.b_id.eqNullSafe(heads.p_id) & (base.b_h == heads.p_h)).select("b_id", "b_h", "text", "take", "begin")
     edited = joined.select("b_id", "b_h", F.expr("concat(substring(text, 1, char_length(text) - take), begin)").alias("edited"))
     edited = summed(edited.withColumn("sha", F.sha2(F.col("edited").cast("binary"), 256)), ["b_id", "b_h", "sha"], "edited")
     edited = edited.select("b_id", "b_h", "sha", *[F.col(n).alias(f"e_{n}") for n in PARTS])
