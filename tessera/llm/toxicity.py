@@ -14,7 +14,6 @@ A text's score is a logistic function of how many of its words are hits, how str
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -24,88 +23,93 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Cache, sliced
+from tessera.llm.common import sliced
 
 LAMBDA, SPAN, WIDTH = 0.7, 6, 1 << 16
 #: Of a longer word each stretch of so many characters counts as a word.
 LONG_WORD = 24
 #: The sample: at most so many toxic and so many clean texts, those of least hash of their ids.
-SAMPLE_TOXIC, SAMPLE_CLEAN = 1000, 2000
+SAMPLE_TOXIC, SAMPLE_CLEAN = 700, 1400
 #: Landmarks, negative words a round, rounds, and the machine's cost and epochs.
-LANDMARKS, NEGATIVES, ROUNDS, COST, EPOCHS = 300, 4000, 3, 8.0, 40
-CACHED_WORDS = 150_000
+LANDMARKS, NEGATIVES, ROUNDS, COST, EPOCHS = 300, 4000, 3, 50.0, 40
+CACHED_WORDS = 400_000
+SIGNS = ".,;:!?\"'()[]{}|*#$%&_-~^`<>/\\"
+#: The decision on a stretch of signs alone.
+NO_WORD = -2.0
 GAPS = [(n, (0, *inner, last)) for n in (3, 4) for last in range(n - 1, SPAN) for inner in combinations(range(1, last), n - 2)]
+POWERS = LAMBDA ** np.arange(8.0)
 
 
-def words_of(text: str) -> list[str]:
-    """Lower-case stretches between white space without signs at their ends; runs of single letters are joined."""
-    out: list[str] = []
-    single: list[str] = []
-    for raw in text.lower().split():
-        w = raw.strip(".,;:!?\"'()[]{}|*#$%&_-~^`<>/\\")
-        if not w:
-            continue
-        if len(w) == 1:
-            single.append(w)
-            continue
-        if len(single) >= 3:
-            out.append("".join(single))
-        single = []
-        out += [w] if len(w) <= LONG_WORD else [w[i : i + LONG_WORD] for i in range(0, len(w), LONG_WORD - 8)]
-    if len(single) >= 3:
-        out.append("".join(single))
-    return out
+def parts_of(raw: str) -> list[str]:
+    """A stretch between white space in lower case without signs at its ends; a long one in overlapping parts."""
+    w = raw.lower().strip(SIGNS)
+    return [w] if len(w) <= LONG_WORD else [w[i : i + LONG_WORD] for i in range(0, len(w), LONG_WORD - 8)]
 
 
-def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(hashed subsequences, weights), a row a word; rows are padded with weight 0 and normalised to length 1.
+def single_runs(raws: list[str], single: np.ndarray) -> list[str]:
+    """Words spelled out by three single characters or more, one after another."""
+    at = np.flatnonzero(single)
+    if len(at) < 3:
+        return []
+    cuts = np.split(at, np.flatnonzero(np.diff(at) > 1) + 1)
+    return ["".join(raws[i] for i in c) for c in cuts if len(c) >= 3]
 
-    Equal subsequences of a word add up before the length is taken.
-    """
-    size = LONG_WORD + 2
-    chars = np.zeros((len(words), size), np.int64)
-    for i, w in enumerate(words):
-        code = [2, *map(ord, w[:LONG_WORD]), 3]
-        chars[i, : len(code)] = code
-    ids, weights = [], []
+
+def entries(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashed subsequences, weights) of words of one length, a row a word, sorted by hash, not added up."""
+    size = len(words[0]) + 2
+    chars = np.full((len(words), size), 2, np.int64)
+    chars[:, -1] = 3
+    if size > 2:
+        chars[:, 1:-1] = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(words), size - 2)
+    keys = []
     for n, places in GAPS:
         stop = size - places[-1]
+        if stop <= 0:
+            continue
         h = np.full((len(words), stop), n, np.int64)
-        there = chars[:, places[-1] : places[-1] + stop] > 0
         for p in places:
             h = (h * 1_000_003 + chars[:, p : p + stop]) & 0x7FFFFFFFFFFF
-        ids.append((h ^ (h >> 21)) % WIDTH)
-        weights.append(there * LAMBDA ** (places[-1] + 1))
-    hashed, weight = np.concatenate(ids, axis=1), np.concatenate(weights, axis=1)
-    order = np.argsort(np.where(weight > 0, hashed, WIDTH), axis=1)
-    hashed, weight = np.take_along_axis(hashed, order, 1), np.take_along_axis(weight, order, 1)
-    upto = np.cumsum(weight, axis=1)
-    last = np.concatenate((np.diff(hashed, axis=1) != 0, np.ones((len(words), 1), bool)), axis=1) & (weight > 0)
-    last[:, :-1] |= (weight[:, :-1] > 0) & (weight[:, 1:] == 0)
-    totals = np.where(last, upto, 0.0)
-    before = np.concatenate((np.zeros((len(words), 1)), np.maximum.accumulate(totals, axis=1)[:, :-1]), axis=1)
-    weight = np.where(last, upto - before, 0.0)
-    length = np.sqrt((weight**2).sum(axis=1, keepdims=True))
-    return hashed, np.divide(weight, length, out=np.zeros_like(weight), where=length > 0)
-
-
-def dense(hashed: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(hashed), WIDTH), np.float32)
-    np.add.at(out, (np.arange(len(hashed))[:, None], hashed), weight)
+        keys.append(((h ^ (h >> 21)) % WIDTH) * 8 + places[-1] + 1)
+    both = np.sort(np.concatenate(keys, axis=1), axis=1)
+    return both >> 3, POWERS[both & 7]
+
+
+def by_length(words: list[str], step: int = 4096) -> Iterator[list[int]]:
+    """Indexes of words of one length, at most ``step`` at a time."""
+    order = sorted(range(len(words)), key=lambda i: len(words[i]))
+    start = 0
+    for i in range(1, len(order) + 1):
+        if i == len(order) or len(words[order[i]]) != len(words[order[start]]) or i - start == step:
+            yield order[start:i]
+            start = i
+
+
+def lengths(hashed: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Length of each row's vector, in which equal subsequences add up."""
+    first = np.ones(hashed.shape, bool)
+    first[:, 1:] = hashed[:, 1:] != hashed[:, :-1]
+    at = np.flatnonzero(first)
+    sums = np.add.reduceat(weight.ravel(), at)
+    return np.sqrt(np.bincount(at // hashed.shape[1], sums * sums, minlength=len(hashed)))
+
+
+def dense(words: list[str]) -> np.ndarray:
+    """Normalised vectors of words, one a row."""
+    out = np.zeros((len(words), WIDTH), np.float32)
+    for at in by_length(words):
+        hashed, weight = entries([words[i] for i in at])
+        np.add.at(out, (np.array(at)[:, None], hashed), weight / lengths(hashed, weight)[:, None])
     return out
 
 
-def kernel(words: list[str], landmarks: np.ndarray, step: int = 500) -> np.ndarray:
+def kernel(words: list[str], landmarks: np.ndarray) -> np.ndarray:
     """Kernel values of words with landmarks given as dense rows."""
-    out = []
-    for i in range(0, len(words), step):
-        hashed, weight = subsequences(words[i : i + step])
-        got = np.zeros((len(hashed), len(landmarks)))
-        for j in range(len(hashed)):
-            on = weight[j] > 0
-            got[j] = landmarks[:, hashed[j][on]] @ weight[j][on]
-        out.append(got)
-    return np.concatenate(out) if out else np.zeros((0, len(landmarks)))
+    out, columns = np.zeros((len(words), len(landmarks))), np.ascontiguousarray(landmarks.T)
+    for at in by_length(words, 256):
+        hashed, weight = entries([words[i] for i in at])
+        out[at] = np.einsum("ijk,ij->ik", columns[hashed], (weight / lengths(hashed, weight)[:, None]).astype(np.float32))
+    return out
 
 
 @dataclass
@@ -113,11 +117,31 @@ class Model:
     weights: np.ndarray  # WIDTH, float32: the machine's weight of each hashed subsequence
     bias: float
     logistic: np.ndarray  # of the text's features
-    scale: np.ndarray
 
     def decisions(self, words: list[str]) -> np.ndarray:
-        hashed, weight = subsequences(words)
-        return (self.weights[hashed] * weight).sum(axis=1) + self.bias
+        """The machine's decision on each word; an empty word is none."""
+        out = np.full(len(words), NO_WORD)
+        for at in by_length(words):
+            if not words[at[0]]:
+                continue
+            hashed, weight = entries([words[i] for i in at])
+            out[at] = (self.weights[hashed] * weight).sum(axis=1) / lengths(hashed, weight) + self.bias
+        return out
+
+    def judged(self, raws: list[str]) -> np.ndarray:
+        """The highest decision on the parts of each stretch; NaN for single characters."""
+        parts = [parts_of(r) for r in raws]
+        flat = self.decisions([p for ps in parts for p in ps])
+        top = np.maximum.reduceat(flat, np.concatenate(([0], np.cumsum([len(p) for p in parts])[:-1]))) if raws else flat
+        return np.where([len(p[0]) == 1 for p in parts], np.nan, top)
+
+    def of_text(self, raws: list[str], got: np.ndarray) -> np.ndarray:
+        """Decisions of a text's words, those spelled out included."""
+        single = np.isnan(got)
+        if not single.any():
+            return got
+        spelled = [p for r in single_runs(raws, single) for p in parts_of(r)]
+        return np.concatenate((got[~single], self.decisions(spelled))) if spelled else got[~single]
 
 
 def svm(x: np.ndarray, y: np.ndarray, sample_weight: np.ndarray) -> tuple[np.ndarray, float]:
@@ -158,19 +182,20 @@ def logistic_fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def train(samples: list[tuple[str, int]]) -> Model:
     """Learn from (text, toxic)."""
-    flat = Model(np.zeros(WIDTH, np.float32), -1.0, np.array([0, 0, 0, 0, 0, -5.0]), np.ones(5))
+    flat = Model(np.zeros(WIDTH, np.float32), -1.0, np.array([0, 0, 0, 0, 0, -5.0]))
     if len({y for _, y in samples}) < 2:
         return flat
-    bags = [(words_of(t), y) for t, y in samples]
+    number: dict[str, int] = {}
+    bags = [(np.array([number.setdefault(p, len(number)) for r in t.split() for p in parts_of(r) if len(p) > 1], np.int32), y) for t, y in samples]
+    every = list(number)
     n_pos, n_neg = sum(y for _, y in bags), sum(1 - y for _, y in bags)
-    pos, neg = Counter(), Counter()
-    for words, y in bags:
-        (pos if y else neg).update(set(words))
+    pos_n, neg_n = (np.bincount(np.concatenate([np.unique(b) for b, y in bags if y == k]), minlength=len(every)) for k in (1, 0))
+    pos, neg = ({every[i]: int(n[i]) for i in np.flatnonzero(n)} for n in (pos_n, neg_n))
     # words are first judged by how much more often they occur in toxic texts than in clean ones
-    odds = {w: np.log((n + 0.05) / (n_pos + 0.1)) - np.log((neg[w] + 0.5) / (n_neg + 1)) for w, n in pos.items() if n >= 3}
+    odds = {w: np.log((n + 0.05) / (n_pos + 0.1)) - np.log((neg.get(w, 0) + 0.5) / (n_neg + 1)) for w, n in pos.items() if n >= 3}
     seeds = sorted((w for w, s in odds.items() if s > 2.0), key=lambda w: (-odds[w] * pos[w], w))[: LANDMARKS * 3]
     if not seeds:
-        seeds = sorted(pos, key=lambda w: (-(pos[w] / n_pos - neg[w] / n_neg), w))[:20]
+        seeds = sorted(pos, key=lambda w: (-(pos[w] / n_pos - neg.get(w, 0) / n_neg), w))[:20]
     clean = sorted(neg, key=lambda w: (-neg[w], w))
     rng = np.random.default_rng(11)
     cases = clean[:500] + [clean[i] for i in sorted(rng.permutation(len(clean))[:NEGATIVES])]
@@ -178,7 +203,7 @@ def train(samples: list[tuple[str, int]]) -> Model:
     for r in range(ROUNDS):
         marks = seeds[: LANDMARKS // 2] + [cases[i] for i in rng.permutation(len(cases))[: LANDMARKS // 2]]
         marks = list(dict.fromkeys(marks))
-        land = dense(*subsequences(marks))
+        land = dense(marks)
         inner = land.astype(np.float64) @ land.T.astype(np.float64)
         values, vectors = np.linalg.eigh(inner)
         keep = values > 1e-6 * values.max()
@@ -186,24 +211,32 @@ def train(samples: list[tuple[str, int]]) -> Model:
         both = seeds + cases
         x = kernel(both, land) @ whiten
         y = np.array([1.0] * len(seeds) + [-1.0] * len(cases))
-        balance = np.where(y > 0, len(cases) / max(1, len(seeds)) / 4, 1.0)
+        # a word of many toxic texts weighs more than one that may be there by chance
+        sure = np.array([min(1.0, pos.get(w, 0) / 10) ** 2 for w in seeds])
+        balance = np.concatenate((sure * len(cases) / max(1.0, sure.sum()) / 2, np.ones(len(cases))))
         w, b = svm(x, y, balance)
-        model = Model((land.T.astype(np.float64) @ (whiten @ w)).astype(np.float32), b, flat.logistic, flat.scale)
-        every = list(dict.fromkeys(w for words, _ in bags for w in words))
-        got = np.concatenate([model.decisions(every[i : i + 2000]) for i in range(0, len(every), 2000)])
-        found = dict(zip(every, got, strict=True))
+        model = Model((land.T.astype(np.float64) @ (whiten @ w)).astype(np.float32), b, flat.logistic)
+        found = model.decisions(every)
         if r == ROUNDS - 1:
             break
         # of the words that the machine takes for hits: those of clean texts are cases against, the rest for
-        hits = [w for w in every if found[w] > -0.2]
-        against = sorted((w for w in hits if neg[w] / n_neg >= pos[w] / n_pos), key=lambda w: (-found[w], w))[:NEGATIVES]
-        more = sorted((w for w in hits if found[w] > 0.3 and pos[w] >= 1 and neg[w] == 0), key=lambda w: (-found[w], w))[: LANDMARKS * 3]
+        clean_side = neg_n / n_neg >= pos_n / n_pos
+        against = [every[i] for i in np.argsort(-found, kind="stable")[:NEGATIVES] if found[i] > -0.2 and clean_side[i]]
+        more = [every[i] for i in np.argsort(-found, kind="stable") if found[i] > 0.3 and neg_n[i] == 0][: LANDMARKS * 3]
         seeds = list(dict.fromkeys(seeds + more))
         taken = set(seeds)
         cases = [w for w in dict.fromkeys(cases + against) if w not in taken]
-    feats = np.array([text_features(np.array([found[w] for w in words])) for words, _ in bags])
     labels = np.array([y for _, y in bags], float)
-    return Model(model.weights, model.bias, logistic_fit(feats, labels), flat.scale)
+    # the decision from which a word is a hit is the one that tells the sample's texts apart best
+    best = None
+    for shift in np.arange(-0.8, 0.5, 0.1):
+        feats = np.array([text_features(found[b] - shift) for b, _ in bags])
+        w = logistic_fit(feats, labels)
+        p = 1 / (1 + np.exp(-np.clip(np.hstack([feats, np.ones((len(feats), 1))]) @ w, -30, 30)))
+        loss = -np.mean(np.log(np.clip(np.where(labels > 0, p, 1 - p), 1e-9, 1)))
+        if best is None or loss < best[0]:
+            best = loss, shift, w
+    return Model(model.weights, model.bias - best[1], best[2])
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
@@ -228,22 +261,14 @@ def scores(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: Cache = Cache(CACHED_WORDS)
+        known: dict[str, float] = {}
         for batch in sliced(batches, 500):
-            texts = [words_of(t or "") for t in batch.column(1).to_pylist()]
-            new = list({w for words in texts for w in words if w not in known and w not in known.old})
-            fresh: dict[str, float] = {}
-            for i in range(0, len(new), 2000):
-                fresh.update(zip(new[i : i + 2000], model.decisions(new[i : i + 2000]).tolist(), strict=True))
-            known.make = fresh.__getitem__
-            feats = []
-            for words in texts:
-                # words that left the cache within this batch are judged anew
-                try:
-                    got = [known[w] for w in words]
-                except KeyError:
-                    got = model.decisions(words).tolist()
-                feats.append(text_features(np.array(got)))
+            raws = [(t or "").split() for t in batch.column(1).to_pylist()]
+            if len(known) > CACHED_WORDS:
+                known = {}
+            new = list({r for words in raws for r in words} - known.keys())
+            known.update(zip(new, model.judged(new).tolist(), strict=True))
+            feats = [text_features(model.of_text(words, np.fromiter(map(known.__getitem__, words), np.float64, len(words)))) for words in raws]
             x = np.hstack([np.array(feats), np.ones((len(feats), 1))])
             p = 1 / (1 + np.exp(-np.clip(x @ model.logistic, -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p, pa.float64())], [id_col, "score"])
