@@ -1 +1 @@
-
+"""Scalar semantics of the dialect as Spark columns."""

@@ -1 +1 @@
-
+"""Tables, the catalog and its system relations."""
