@@ -93,7 +93,7 @@ def two(c: Column) -> Column:
 def clock(micros: Column) -> Column:
     """HH:MM:SS of microseconds since midnight."""
     s = F.floor(micros / 1_000_000)
-    return F.concat_ws(":", two(F.floor(s / 3600)), two(F.floor(s / 60) % 60), two(s % 60))
+    return F.concat(two(F.floor(s / 3600)), F.lit(":"), two(F.floor(s / 60) % 60), F.lit(":"), two(s % 60))
 
 
 def timestamp_text(c: Column) -> Column:
