@@ -7,17 +7,16 @@ import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType
 
-from tessera.llm.common import Cache, sliced
+from tessera.llm.common import Cache, held, sliced
 
 #: Entries of the two halves of a worker's word cache; it bounds memory, never the result.
-CACHED_WORDS = 250_000
+CACHED_WORDS = 200_000
 
 
 def byte_letters() -> list[str]:
@@ -97,11 +96,14 @@ class WordBpe:
         symbols = [self.first[b] for b in data[:-1]] + [self.last[data[-1]]]
         return tuple(merge([x for x in symbols if x >= 0], self.ranks))
 
+    def cut_up(self, text: str) -> list[str]:
+        """Normalised pieces of a stretch without special tokens; lower case is taken character by character."""
+        return self.pattern.findall("".join(c.lower() for c in unicodedata.normalize("NFC", text)) if not text.isascii() else text.lower())
+
     def plain(self, text: str) -> list[int]:
-        text = "".join(c.lower() for c in unicodedata.normalize("NFC", text)) if not text.isascii() else text.lower()
         out: list[int] = []
-        for piece in self.pattern.findall(text):
-            out.extend(self.pieces[piece] if len(piece) <= 64 else self.piece(piece))
+        for piece in self.cut_up(text):
+            out.extend(self.pieces[piece])
         return out
 
     def word(self, word: str) -> tuple[int, ...]:
@@ -116,9 +118,9 @@ class WordBpe:
     def encode(self, text: str | None) -> list[int]:
         """Ids of the whole text; null is empty."""
         out: list[int] = []
-        words, add = self.words, out.extend
-        for word in (text or "").replace("\n", " ").split(" "):
-            add(words[word] if len(word) <= 64 else self.word(word))
+        add = out.extend
+        for ids in map(self.words.__getitem__, (text or "").replace("\n", " ").split(" ")):
+            add(ids)
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -126,9 +128,8 @@ class WordBpe:
         return " ".join(map(self.strings.__getitem__, ids))
 
 
-@lru_cache(1)
 def tokenizer(path: str) -> WordBpe:
-    return WordBpe(path)
+    return held(f"bpe {path}", lambda: WordBpe(path))
 
 
 def with_tokens(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "token_ids", decoded_col: str = "decoded") -> DataFrame:

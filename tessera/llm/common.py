@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -123,6 +124,22 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.R
             yield batch.slice(start, rows)
 
 
+_HELD: dict[str, object] = {}
+
+
+def held(name: str, make):
+    """What a worker keeps between tasks: one thing at a time, so that operators' caches don't add up."""
+    if name not in _HELD:
+        _HELD.clear()
+        gc.collect()
+        _HELD[name] = make()
+    return _HELD[name]
+
+
+#: Longer keys are made anew each time, so that entries stay small.
+LONG_KEY = 64
+
+
 class Cache(dict):
     """A dict of two generations: at most twice ``most`` entries, the lately used ones stay."""
 
@@ -135,6 +152,8 @@ class Cache(dict):
             value = self.old[key]
         else:
             value = self.make(key)
+            if len(key) > LONG_KEY:
+                return value
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
