@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Cache, sliced
+from tessera.llm.common import held, sliced
 
 WORDS = regex.compile(r"\p{L}[\p{L}\p{M}'’]*")
 LETTER = regex.compile(r"\p{L}")
@@ -27,19 +27,44 @@ ROWS, CHAIN, LONG_WORD = 1 << 15, 48, 48
 #: The most labelled texts that the sample takes and the chains it takes of each, those of least hash, and training.
 SAMPLE_TEXTS, SAMPLE_CHAINS, EPOCHS, RATE, DECAY = 800, 6, 6, 0.2, 1e-5
 UNKNOWN = "und"
-CACHED_WORDS = 150_000
+CACHED_WORDS = 300_000
 
 
-def features(word: str, lexicon: frozenset[str] | set[str]) -> list[int]:
-    """Rows of the weight table for a word, whatever its case."""
+def trimmed(word: str) -> str:
+    """Lower case, both ends of a long word."""
     w = word.lower()
-    if len(w) > LONG_WORD:
-        w = w[: LONG_WORD // 2] + w[-LONG_WORD // 2 :]
-    out = [f"w{w}"] if w in lexicon else ["?"]
-    out += [f"p{w[:k]}" for k in (1, 2, 3) if len(w) >= k] + [f"s{w[-k:]}" for k in (1, 2, 3, 4) if len(w) >= k]
-    edged = f"^{w}$"
-    out += [f"g{edged[i : i + k]}" for k in (2, 3) for i in range(len(edged) - k + 1)]
-    return [crc32(x.encode("utf-8", "surrogatepass")) % (ROWS - 1) + 1 for x in out]
+    return w if len(w) <= LONG_WORD else w[: LONG_WORD // 2] + w[-LONG_WORD // 2 :]
+
+
+def features(words: list[str], lexicon: frozenset[str] | set[str]) -> Iterator[tuple[list[int], np.ndarray]]:
+    """(indexes of words of one length, their rows of the weight table): the word if the lexicon has it, prefixes
+    to 3 characters, suffixes to 4, n-grams of 2 and 3 with the word's ends; whatever the case."""
+    lower = [trimmed(w) for w in words]
+    order = sorted(range(len(words)), key=lambda i: len(lower[i]))
+    start = 0
+    for i in range(1, len(order) + 1):
+        if i < len(order) and len(lower[order[i]]) == len(lower[order[start]]):
+            continue
+        at, start = order[start:i], i
+        own = [lower[j] for j in at]
+        n = len(own[0])
+        chars = np.full((len(own), n + 2), 2, np.int64)
+        chars[:, -1] = 3
+        if n:
+            chars[:, 1:-1] = np.frombuffer("".join(own).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(own), n)
+
+        def hashed(kind: int, *columns: np.ndarray) -> np.ndarray:
+            h = np.full(columns[0].shape, kind, np.int64)
+            for c in columns:
+                h = (h * 1_000_003 + c) & 0xFFFFFFFFFFF
+            return (h ^ (h >> 17)) % (ROWS - 1) + 1
+
+        whole = hashed(1, *chars.T)
+        rows = [np.where([w in lexicon for w in own], whole, ROWS - 1)]
+        rows += [hashed(2, *chars[:, 1 : k + 1].T) for k in (1, 2, 3) if n >= k]
+        rows += [hashed(3, *chars[:, n + 1 - k : n + 1].T) for k in (1, 2, 3, 4) if n >= k]
+        grams = [hashed(4, *[chars[:, j : n + 3 - k + j] for j in range(k)]) for k in (2, 3) if n + 2 >= k]
+        yield at, np.concatenate([np.stack(rows, axis=1), *grams], axis=1)
 
 
 @dataclass
@@ -101,7 +126,11 @@ def train(samples: list[tuple[str, str]]) -> Model:
     k = len(labels)
     weights, trans = np.zeros((ROWS, k)), np.zeros((k, k))
     squares, t_squares = np.full((ROWS, k), 1e-2), np.full((k, k), 1e-2)
-    coded = [([features(w, lexicon) for w in words], y) for words, y in picked]
+    every_word = list({w for words, _ in picked for w in words})
+    rows_of: dict[str, np.ndarray] = {}
+    for at, rows in features(every_word, lexicon):
+        rows_of.update((every_word[i], r) for i, r in zip(at, rows, strict=True))
+    coded = [([rows_of[w] for w in words], y) for words, y in picked]
     order = np.random.default_rng(7)
     for _ in range(EPOCHS):
         mixed = order.permutation(len(coded))
@@ -109,7 +138,7 @@ def train(samples: list[tuple[str, str]]) -> Model:
             batch = sorted((coded[i] for i in mixed[start : start + 64]), key=lambda c: -len(c[0]))
             lengths = np.array([len(c[0]) for c in batch])
             t = int(lengths.max())
-            flat = np.concatenate([np.array(f) for c, _ in batch for f in c])
+            flat = np.concatenate([f for c, _ in batch for f in c])
             sizes = np.array([len(f) for c, _ in batch for f in c])
             word = np.repeat(np.arange(len(sizes)), sizes)
             emit = np.zeros((len(sizes), k))
@@ -153,28 +182,46 @@ def fit(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, most: in
     return train([(t, lang) for t, lang in zip(rows[text_col], rows[lang_col], strict=True) if t and lang])
 
 
-def emission_cache(model: Model) -> Cache:
-    """Scores of a word for each label, kept by word."""
-    cache = Cache(CACHED_WORDS)
-    cache.make = lambda w: model.weights[features(w, model.lexicon)].sum(axis=0)
-    return cache
+class Emissions:
+    """Scores of words for each label, a row of a matrix for each word met, as long as the worker lives."""
 
+    def __init__(self, model: Model):
+        self.model, self.number = model, {}
+        self.scores = np.zeros((0, max(1, len(model.labels))), np.float32)
 
-def decide(model: Model, texts: list[str | None], emissions: Cache) -> tuple[list[str], list[float]]:
+    def of(self, texts: list[list[str]]) -> np.ndarray:
+        """Scores of all words of the texts in order. A full cache starts anew before the texts are met."""
+        if len(self.number) > CACHED_WORDS:
+            self.number, self.scores = {}, self.scores[:0]
+        new = list({w for words in texts for w in words} - self.number.keys())
+        if new:
+            fresh = np.zeros((len(new), self.scores.shape[1]), np.float32)
+            for at, rows in features(new, self.model.lexicon):
+                for i in range(0, len(at), 4096):
+                    fresh[at[i : i + 4096]] = self.model.weights[rows[i : i + 4096]].sum(axis=1)
+            self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
+            self.scores = np.concatenate((self.scores, fresh))
+        get = self.number.__getitem__
+        return self.scores[np.fromiter((get(w) for words in texts for w in words), np.int64, sum(map(len, texts)))]
+
+
+def emission_cache(model: Model) -> Emissions:
+    return held(f"crf {crc32(model.weights.tobytes())}", lambda: Emissions(model))
+
+
+def decide(model: Model, texts: list[str | None], emissions: Emissions) -> tuple[list[str], list[float]]:
     """Language and score of each text; the score is the mean probability of the language over the words."""
     k = max(1, len(model.labels))
-    lengths, owner, rows = [], [], []
-    for i, text in enumerate(texts):
-        words = WORDS.findall(text) if text else []
-        get = emissions.__getitem__
-        rows += map(get, words)
+    found = [WORDS.findall(t) if t else [] for t in texts]
+    lengths, owner = [], []
+    for i, words in enumerate(found):
         for start in range(0, len(words), CHAIN):
             lengths.append(min(CHAIN, len(words) - start))
             owner.append(i)
     total = np.zeros((len(texts), k))
-    if rows and model.labels:
+    if lengths and model.labels:
         sizes, own = np.array(lengths), np.array(owner)
-        emit = np.array(rows, np.float64)
+        emit = emissions.of(found)
         first = np.concatenate(([0], np.cumsum(sizes)[:-1]))
         order = np.argsort(-sizes, kind="stable")
         for s in range(0, len(order), 4096):
