@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,51 +27,70 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Cache, file_system, new_folder, sliced, write_file, written
+from tessera.llm.bpe import WordBpe, byte_letters
+from tessera.llm.common import Cache, file_system, held, new_folder, sliced, write_file, written
 
 MAGIC = b"TRP1"
 #: Ids of a shard (a longer document makes a longer shard), rounds of replacement, pairs replaced a round,
 #: and how often a pair occurs at least to get a rule.
-SHARD_IDS, ROUNDS, PAIRS_A_ROUND, LEAST_COUNT = 2_000_000, 6, 4096, 8
-CACHED_WORDS = 250_000
+SHARD_IDS, ROUNDS, PAIRS_A_ROUND, LEAST_COUNT = 2_000_000, 5, 4096, 8
+CACHED_WORDS, CACHED_PIECES, MOST_READERS = 250_000, 250_000, 10_000
 BUCKETS = 20
 #: The id under which rows without one are filed, first of all.
 NO_ID = -(1 << 63)
 
 
-class LibraryIds:
-    """Ids of the tokenizers library as bytes, kept by word: stretches between spaces and line feeds are independent."""
+class LibraryIds(WordBpe):
+    """Ids by the tokenizers library, as little-endian uint32 in bytes, kept by word and piece.
+
+    Normalisation and the cut into pieces are those of WordBpe, which the tests hold against the library's; each
+    piece not met yet is encoded by the library's model. That spares the library's work on words met before.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.words = Cache(CACHED_WORDS)
-        self.words.make = self.word
+        super().__init__(path)
+        self.model = Tokenizer.from_file(path).model
+        self.letters = dict(enumerate(byte_letters()))
+        self.pieces, self.words = Cache(CACHED_PIECES), Cache(CACHED_WORDS)
+        self.pieces.make, self.words.make = self.piece_bytes, self.word_bytes
+
+    def piece_bytes(self, piece: str) -> bytes:
+        letters = piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+
+    def word_bytes(self, word: str) -> bytes:
+        parts = self.cut.split(word) if self.cut is not None and "<" in word else [word]
+        return b"".join([array("I", [self.special[p]]).tobytes() if p in self.special else b"".join(map(self.pieces.__getitem__, self.cut_up(p))) for p in parts])
 
-    def word(self, word: str) -> bytes:
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+    def bytes_of(self, text: str) -> bytes:
+        """Ids of a whole text."""
+        return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
 
-    def encode(self, text: str) -> bytes:
-        words = self.words
-        return b"".join([words[w] if len(w) <= 64 else self.word(w) for w in text.replace("\n", " ").split(" ")])
 
+def library(path: str) -> LibraryIds:
+    return held(f"library {path}", lambda: LibraryIds(path))
 
-def frequent_pairs(ids: np.ndarray, usable: np.ndarray, most: int, least: int) -> np.ndarray:
-    """Codes (left << 32 | right) of the pairs that occur most, by count, then code.
 
-    Counts by hash bucket narrow the pairs down; only those of full buckets are counted one by one.
+def frequent_pairs(symbols: np.ndarray, usable: np.ndarray, most: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(codes left << 32 | right of the pairs to replace, for each place the number of its pair or -1).
+
+    Pairs are counted by hash bucket in arrays, without sorting: of each bucket the pair that stands last in the
+    shard is counted exactly; others of the bucket wait for a later round.
     """
-    left, right = ids[:-1].astype(np.uint64), ids[1:].astype(np.uint64)
-    bucket = ((left * np.uint64(0x9E3779B1) + right * np.uint64(0x85EBCA77)) >> np.uint64(7) & np.uint64((1 << BUCKETS) - 1)).astype(np.int64)
-    full = np.bincount(bucket[usable], minlength=1 << BUCKETS)
-    top = np.partition(full, -2 * most)[-2 * most]
-    chosen = usable & (full[bucket] >= max(least, top))
-    codes, counts = np.unique(left[chosen] << np.uint64(32) | right[chosen], return_counts=True)
-    codes, counts = codes[counts >= least], counts[counts >= least]
-    return codes[np.lexsort((codes, -counts))[:most]]
+    code = symbols[:-1].astype(np.uint64) << np.uint64(32) | symbols[1:]
+    bucket = ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BUCKETS)).astype(np.int32)
+    own = np.zeros(1 << BUCKETS, np.uint64)
+    own[bucket] = code
+    counted = usable & (own[bucket] == code)
+    counts = np.bincount(bucket[counted], minlength=1 << BUCKETS)
+    top = max(least, int(np.partition(counts, -most)[-most]))
+    chosen = np.flatnonzero(counts >= top)
+    # ties at the limit are all taken, so that the choice depends on counts alone
+    number = np.full(1 << BUCKETS, -1, np.int32)
+    number[chosen] = np.arange(len(chosen))
+    return own[chosen], np.where(counted, number[bucket], -1)
 
 
 def compress(ids: np.ndarray, ends: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -87,23 +107,16 @@ def compress(ids: np.ndarray, ends: np.ndarray, terminals: int) -> tuple[np.ndar
         usable = np.ones(len(symbols) - 1, bool)
         inner = doc_ends[(doc_ends > 0) & (doc_ends < len(symbols))]
         usable[inner - 1] = False
-        pairs = frequent_pairs(symbols, usable, PAIRS_A_ROUND, LEAST_COUNT)
-        if not len(pairs):
-            break
-        order = np.sort(pairs)
-        code = symbols[:-1].astype(np.uint64) << np.uint64(32) | symbols[1:]
-        at = np.searchsorted(order, code)
-        at[at == len(order)] = 0
-        hit = usable & (order[at] == code)
+        pairs, at = frequent_pairs(symbols, usable, PAIRS_A_ROUND, LEAST_COUNT)
         # of a run of places next to each other every other one is taken
-        places = np.flatnonzero(hit)
+        places = np.flatnonzero(at >= 0)
         if not len(places):
             break
         starts = np.concatenate(([True], np.diff(places) > 1))
         first = np.maximum.accumulate(np.where(starts, np.arange(len(places)), 0))
         places = places[(np.arange(len(places)) - first) % 2 == 0]
         base = len(lengths)
-        new = (order >> np.uint64(32)).astype(np.uint32), (order & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        new = (pairs >> np.uint64(32)).astype(np.uint32), (pairs & np.uint64(0xFFFFFFFF)).astype(np.uint32)
         rules.append(np.stack(new, axis=1))
         lengths = np.concatenate((lengths, lengths[new[0]] + lengths[new[1]]))
         symbols = symbols.copy()
@@ -129,6 +142,26 @@ def expand(symbols: np.ndarray, rules: np.ndarray, terminals: int) -> np.ndarray
     return symbols
 
 
+def expand_all(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, terminals: int) -> np.ndarray:
+    """As ``expand``, for many symbols: every rule is expanded once, then copied to its places."""
+    if not len(rules):
+        return symbols
+    pool = expand(np.arange(terminals, terminals + len(rules), dtype=np.uint32), rules, terminals)
+    begins = np.concatenate(([0], np.cumsum(lengths.astype(np.int64))[:-1]))
+    rule = symbols.astype(np.int64) - terminals
+    inner = rule >= 0
+    sizes = np.ones(len(symbols), np.int64)
+    sizes[inner] = lengths[rule[inner]]
+    ends = np.cumsum(sizes)
+    out = np.repeat(symbols, sizes)
+    # where an id stands in the pool, less where it stands in the result
+    shift = np.full(len(symbols), -1, np.int64)
+    shift[inner] = begins[rule[inner]] - (ends - sizes)[inner]
+    at = np.flatnonzero(out >= terminals)
+    out[at] = pool[at + np.repeat(shift, sizes)[at]]
+    return out
+
+
 def shard_bytes(doc_ids: np.ndarray, ids: np.ndarray, ends: np.ndarray, terminals: int) -> list[bytes]:
     symbols, symbol_ends, rules, lengths = compress(ids, ends, terminals)
     parts = [MAGIC + struct.pack("<6I", len(doc_ids), len(ids), len(symbols), len(rules), terminals, ROUNDS)]
@@ -181,7 +214,7 @@ def write_shards(df: DataFrame, path: str, folder: str, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, shard, library = TaskContext.get().partitionId(), 0, LibraryIds(path)
+        part, shard, ids_of = TaskContext.get().partitionId(), 0, library(path)
         doc_ids: list[int] = []
         made: list[bytes] = []
         size = 0
@@ -196,8 +229,8 @@ def write_shards(df: DataFrame, path: str, folder: str, id_col: str = "doc_id",
             return row
 
         for batch in sliced(batches, 500):
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                made.append(library.encode(text) + end)
+            for doc_id, data in zip(batch.column(0).to_pylist(), map(ids_of.bytes_of, batch.column(1).to_pylist()), strict=True):
+                made.append(data + end)
                 doc_ids.append(NO_ID if doc_id is None else doc_id)
                 size += len(made[-1]) // 4
                 if size >= SHARD_IDS:
@@ -219,7 +252,8 @@ def with_starts(shards: DataFrame) -> DataFrame:
 
 def read_shards(shards: DataFrame) -> DataFrame:
     """Per document, from the files: doc_id, start, n_tokens, ids_crc32."""
-    spread = with_starts(shards).select("path", "start").repartition(F.col("path"))
+    # a task for each file, up to a bound; a count by number isn't merged again as small partitions would be
+    spread = with_starts(shards).select("path", "start").repartition(max(1, min(MOST_READERS, shards.count())), F.col("path"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -228,7 +262,7 @@ def read_shards(shards: DataFrame) -> DataFrame:
                 with system.open_input_stream(at, compression=None) as f:
                     shard = Shard(f.read())
                 # all symbols are expanded at once, then cut by the documents' ends
-                every = expand(shard.symbols, shard.rules, shard.terminals).astype("<u4")
+                every = expand_all(shard.symbols, shard.rules, shard.lengths, shard.terminals).astype("<u4", copy=False)
                 ends = shard.ends.astype(np.int64)
                 starts = np.concatenate(([0], ends[:-1]))
                 crc = [zlib.crc32(every[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
