@@ -20,6 +20,8 @@ DICT_FRAME = 0x184D2A5D
 LEAST_REVISIT, ARCHIVE_BYTES, SAMPLE_BYTES, DICT_BYTES, LEVEL = 1000, 32_000_000, 4_000_000, 65_536, 3
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 NO_ID = "none"
+#: Tasks that read, a file each up to this bound.
+MOST_READERS = 10_000
 DATE = "2020-01-01T00:00:00Z"
 
 
@@ -172,7 +174,7 @@ def read_archives(files: DataFrame) -> DataFrame:
                     raise ValueError(f"{path}: {len(rows)} records instead of {count}")
                 yield pa.RecordBatch.from_pylist(rows, kinds)
 
-    return files.repartition("path").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return files.repartition(max(1, min(MOST_READERS, files.count())), "path").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def through_archives(df: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
