@@ -113,10 +113,6 @@ def components(edges: DataFrame) -> DataFrame:
         before, path = sign, after
 
 
-def texts(batch: pa.RecordBatch, name: str = "text") -> list:
-    return batch.column(batch.schema.get_field_index(name)).to_pylist()
-
-
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
     """The same rows in smaller batches, so that only so many texts are Python objects at once."""
     for batch in batches:

@@ -23,12 +23,10 @@ from tessera.llm.common import components, find, sliced, union, written
 
 SEGMENTS, BITS, MOST = 8, 8, 4
 #: Pairs of ring distances after the start, of which one is free of differences.
-PAIRS = ((3, 5), (3, 4), (2, 5), (2, 4), (2, 3))
-PAIRS = tuple((a - 1, b - 1) for a, b in PAIRS)
+PAIRS = ((2, 4), (2, 3), (1, 4), (1, 3), (1, 2))
 #: Distinct fingerprints of a key that one task compares; larger keys are dealt as pairs of blocks.
 BLOCK = 2048
 UPPER_TO_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-WHITE = b"\x20\x09\x0a\x0b\x0c\x0d"
 
 
 def fingerprint(text: str | None, words: int = 4, chunk: int = 65536) -> int:

@@ -68,7 +68,7 @@ def archive(records: list[bytes]) -> list[bytes]:
     trained = build_dictionary(records)
     out = []
     if trained is not None:
-        # level 0 without dictionary: the dictionary itself compressed, as readers may meet it
+        # the dictionary itself is compressed without one, as the specification allows
         packed = zstandard.ZstdCompressor(level=19).compress(trained.as_bytes())
         out.append(struct.pack("<II", DICT_FRAME, len(packed)) + packed)
     squeeze = zstandard.ZstdCompressor(level=LEVEL, dict_data=trained, write_checksum=True, write_content_size=True)
