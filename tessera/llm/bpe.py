@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -81,6 +82,9 @@ class WordBpe:
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         (pattern,) = (x["pattern"]["Regex"] for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
         self.pattern = regex.compile(pattern)
+        # ASCII has 52 letters and 10 digits, and its white space is that of re.ASCII
+        narrow = pattern.replace(r"\p{L}", "A-Za-z").replace(r"\p{N}", "0-9")
+        self.ascii_pattern = self.pattern if r"\p" in narrow else re.compile(narrow, re.ASCII)
         letters = byte_letters()
         self.first = [vocab.get(c, -1) for c in letters]
         self.last = [vocab.get(c + self.end, -1) for c in letters]
@@ -98,7 +102,11 @@ class WordBpe:
 
     def cut_up(self, text: str) -> list[str]:
         """Normalised pieces of a stretch without special tokens; lower case is taken character by character."""
-        return self.pattern.findall("".join(c.lower() for c in unicodedata.normalize("NFC", text)) if not text.isascii() else text.lower())
+        if text.isascii():
+            return self.ascii_pattern.findall(text.lower())
+        text = unicodedata.normalize("NFC", text)
+        # of all characters only the capital sigma has a lower case that depends on its neighbours
+        return self.pattern.findall(text.lower() if "Σ" not in text else "".join(c.lower() for c in text))
 
     def plain(self, text: str) -> list[int]:
         out: list[int] = []

@@ -57,12 +57,15 @@ class LibraryIds(WordBpe):
         self.pieces.make, self.words.make = self.piece_bytes, self.word_bytes
 
     def piece_bytes(self, piece: str) -> bytes:
-        letters = piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
+        # printable ASCII stands for itself
+        letters = piece if piece.isascii() and piece.isprintable() else piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
         return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
 
     def word_bytes(self, word: str) -> bytes:
-        parts = self.cut.split(word) if self.cut is not None and "<" in word else [word]
-        return b"".join([array("I", [self.special[p]]).tobytes() if p in self.special else b"".join(map(self.pieces.__getitem__, self.cut_up(p))) for p in parts])
+        if self.cut is not None and "<" in word:
+            return b"".join([array("I", [self.special[p]]).tobytes() if p in self.special else b"".join(map(self.pieces.__getitem__, self.cut_up(p))) for p in self.cut.split(word)])
+        cut = self.cut_up(word)
+        return self.pieces[cut[0]] if len(cut) == 1 else b"".join([self.pieces[p] for p in cut])
 
     def bytes_of(self, text: str) -> bytes:
         """Ids of a whole text."""
