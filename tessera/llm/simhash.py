@@ -6,26 +6,32 @@ start segment is equal, the first three segments differ in at most one bit, the
 of the four segments after the start, one of five pairs of segments is equal, too. Each fingerprint is
 filed under 8 starts x 5 pairs, a key of 24 equal bits; the whole chain condition prunes the pairs of a key
 before the full Hamming distance is taken.
+
+``keep_one`` asks for more than 4 bits can tell: texts of likeness 0.8 differ in about 10 of 64 bits, where no
+segments need be equal. Its pairs come from the texts' rarest shingles, without loss, and are compared exactly.
 """
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import components, find, sliced, union, written
+from tessera.llm.common import components, find, new_folder, remove, sliced, union, written
 
 SEGMENTS, BITS, MOST = 8, 8, 4
 #: Pairs of ring distances after the start, of which one is free of differences.
 PAIRS = ((2, 4), (2, 3), (1, 4), (1, 3), (1, 2))
 #: Distinct fingerprints of a key that one task compares; larger keys are dealt as pairs of blocks.
 BLOCK = 2048
+#: Near copies to keep one of: likeness of at least 4 / 5. Common shingles that are listed to be put last.
+LIKE, HOT_LISTED = (4, 5), 200_000
 UPPER_TO_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -169,15 +175,197 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return fps.join(of, "fp", "left").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """Distinct hashes of the text's word shingles, ascending; fewer words than that make one shingle, none make none."""
+    parts = (text or "").encode("utf-8", "surrogatepass").translate(UPPER_TO_LOWER).split()
+    of = xxhash.xxh64_intdigest
+    if len(parts) <= words:
+        return np.array([of(b" ".join(parts), 42)] if parts else [], np.uint64)
+    return np.unique(np.array([of(b" ".join(parts[i : i + words]), 42) for i in range(len(parts) - words + 1)], np.uint64))
+
+
+def common_shingles(df: DataFrame, text_col: str, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes ascending, counts) of the shingles that a sixteenth of the texts has at least three times, the commonest
+    HOT_LISTED. They only order shingles: whatever they are, no pair is lost."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 200):
+            sets = [shingle_set(t, words) for t in batch.column(0).to_pylist()]
+            if sets:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["h"])
+
+    part = df.select(F.col(f"`{text_col}`").alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(16)) == 0)
+    top = part.mapInArrow(run, "h long").groupBy("h").count().where("count > 2").orderBy(F.desc("count"), "h").limit(HOT_LISTED).toArrow()
+    hashes, counts = top.column("h").to_numpy().view(np.uint64), top.column("count").to_numpy()
+    order = np.argsort(hashes)
+    return hashes[order], counts[order]
+
+
+def prefix(own: np.ndarray, hot: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The rarest n - ceil(0.8 n) + 1 of a set's n shingles: sets of likeness 0.8 or more share one of them, as all
+    are ordered alike."""
+    if not len(own):
+        return own
+    often = np.zeros(len(own), np.int64)
+    if len(hot):
+        at = np.minimum(np.searchsorted(hot, own), len(hot) - 1)
+        often = np.where(hot[at] == own, counts[at], 0)
+    need = -(-LIKE[0] * len(own) // LIKE[1])
+    return own[np.lexsort((own, often))[: len(own) - need + 1]]
+
+
+def shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (key, rid, n) sorted by key those whose key has several, with the key's number of rows and its first row."""
+    kept: list[np.ndarray] | None = None
+
+    def groups(cols: list[np.ndarray]) -> pa.RecordBatch:
+        key, rid, n = cols
+        start = np.flatnonzero(np.concatenate(([True], np.diff(key) != 0)))
+        size = np.diff(np.concatenate((start, [len(key)])))
+        many, head, rows = np.repeat(size > 1, size), np.repeat(start, size), np.repeat(size, size)
+        out = [key[many], rid[many], n[many], rows[many], rid[head[many]], n[head[many]]]
+        return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in out], ["key", "rid", "n", "size", "first", "first_n"])
+
+    for batch in batches:
+        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+        if kept is not None:
+            cols = [np.concatenate(x) for x in zip(kept, cols, strict=True)]
+        if not len(cols[0]):
+            continue
+        last = int(np.searchsorted(cols[0], cols[0][-1]))
+        kept = [c[last:] for c in cols]
+        if last:
+            yield groups([c[:last] for c in cols])
+    if kept is not None:
+        yield groups(kept)
+
+
+def open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (u, v) of each (key, bi, bj) whose sizes allow likeness 0.8, of different components, neither the key's first."""
+    num, den = LIKE
+    names = ("key", "bi", "bj", "blk", "rid", "n", "component", "first")
+    kept: list[np.ndarray] | None = None
+
+    def pairs(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        key, bi, bj, blk, rid, n, component, first = cols
+        change = np.flatnonzero((np.diff(key) != 0) | (np.diff(bi) != 0) | (np.diff(bj) != 0)) + 1
+        for a, b in zip(np.concatenate(([0], change)), np.concatenate((change, [len(key)])), strict=True):
+            r, m, c, f = rid[a:b], n[a:b], component[a:b], first[a:b]
+            for left, right in pairs_of(b - a, None if bi[a] == bj[a] else blk[a:b]):
+                keep = (c[left] != c[right]) & (r[left] != f[left]) & (r[right] != f[right])
+                keep &= den * np.minimum(m[left], m[right]) >= num * np.maximum(m[left], m[right])
+                if keep.any():
+                    x, y = r[left[keep]], r[right[keep]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["u", "v"])
+
+    for batch in batches:
+        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(len(names))]
+        if kept is not None:
+            cols = [np.concatenate(x) for x in zip(kept, cols, strict=True)]
+        if not len(cols[0]):
+            continue
+        same = (cols[0] == cols[0][-1]) & (cols[1] == cols[1][-1]) & (cols[2] == cols[2][-1])
+        last = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0
+        kept = [c[last:] for c in cols]
+        if last:
+            yield from pairs([c[:last] for c in cols])
+    if kept is not None:
+        yield from pairs(kept)
+
+
+def alike(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """The pairs (u, v) of ids of ``texts(id, text)`` whose sets of shingles have Jaccard likeness 0.8 or more, exactly.
+
+    First 16 bits of each hash are met: what they have in common, and what either set loses by them, bounds from above
+    what the sets share. The pairs that pass are compared by whole hashes. What was written between is removed.
+    """
+    spark, folder = pairs.sparkSession, new_folder(pairs.sparkSession, "alike")
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 200):
+            sets = [shingle_set(t, words) for t in batch.column(1).to_pylist()]
+            low = [np.unique((s & np.uint64(0xFFFF)).astype(np.uint16).view(np.int16)) for s in sets]
+            own = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(low, pa.list_(pa.int16())), own], ["id", "n", "low", "own"])
+
+    def beside(df: DataFrame, *columns: str) -> DataFrame:
+        for end in ("u", "v"):
+            df = df.join(sets.select(F.col("id").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in columns]), end)
+        return df
+
+    num, den = LIKE
+    pairs = kept(pairs.distinct(), "pairs")
+    # written, so that the planner knows their size and needn't shuffle the texts
+    ids = kept(pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct(), "ids")
+    sets = kept(texts.join(ids, "id", "left_semi").mapInArrow(run, "id long, n long, low array<short>, own array<long>"), "sets")
+    most = F.size(F.array_intersect("u_low", "v_low")) + F.least(F.col("u_n") - F.size("u_low"), F.col("v_n") - F.size("v_low"))
+    close = kept(beside(pairs, "n", "low").where(most * (num + den) >= (F.col("u_n") + F.col("v_n")) * num).select("u", "v"), "close")
+    common = F.size(F.array_intersect("u_own", "v_own"))
+    out = written(beside(close, "own").where(common * (num + den) >= (F.size("u_own") + F.size("v_own")) * num).select("u", "v"), "alike")
+    remove(spark, folder)
+    return out
+
+
+def collected(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of DataFrames that nothing holds any more."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def like_classes(df: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """(id, component) of rows with an id: the least id of what pairs of likeness 0.8 or more reach.
+
+    Texts with one set of shingles are one class. Of the others every pair of that likeness shares a key of ``prefix``.
+    The first row of each key is compared with the key's others; then, of what is in different components still, all.
+    """
+    texts = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).where("id is not null")
+    hot, counts = common_shingles(texts, "text", words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 200):
+            sets = [shingle_set(t, words) for t in batch.column(1).to_pylist()]
+            digests = [xxhash.xxh128_digest(s.tobytes()) for s in sets]
+            keys = [prefix(s, hot, counts).view(np.int64) for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["id", "digest", "n", "keys"])
+
+    own = written(texts.mapInArrow(run, "id long, digest binary, n long, keys array<long>"), "shingles")
+    of = written(own.groupBy("digest").agg(F.min("id").alias("rid")), "reps")
+    # a class's keys are those of its representative; a repeated id's further rows with the set repeat them
+    reps = own.join(of, "digest").where("id = rid").select(F.explode("keys").alias("key"), "rid", "n")
+    shared = reps.repartition("key").sortWithinPartitions("key", "rid").mapInArrow(shared_keys, "key long, rid long, n long, size long, first long, first_n long")
+    shared = written(shared, "shared")
+    del reps
+    collected(df.sparkSession)
+    num, den = LIKE
+    near = F.least("n", "first_n") * den >= F.greatest("n", "first_n") * num
+    known = alike(shared.where((F.col("rid") != F.col("first")) & near).select(F.col("first").alias("u"), F.col("rid").alias("v")), texts, words)
+    collected(df.sparkSession)
+    part = components(known)
+    rest = shared.join(part, shared.rid == part.id, "left").withColumn("component", F.coalesce("component", "rid")).drop("id")
+    several = rest.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c <> d").select("key")
+    dealt = in_blocks(rest.join(several, "key", "left_semi"), F.col("size"), F.xxhash64("rid"))
+    dealt = dealt.select("key", "bi", "bj", "blk", "rid", "n", "component", "first").repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
+    found = components(known.union(alike(dealt.mapInArrow(open_pairs, "u long, v long"), texts, words)))
+    del dealt, several, rest, part
+    collected(df.sparkSession)
+    named = own.select("id", "digest").join(of, "digest").select("id", "rid")
+    return named.join(found.withColumnRenamed("id", "of"), F.col("rid") == F.col("of"), "left").select("id", F.coalesce("component", "rid").alias("component"))
+
+
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
     """Rows of ``df`` without all but one of each group of near copies: the row with the least id stays.
 
-    Of repeated rows with that id one stays; rows with a null id stay.
+    Near copies are texts whose sets of word shingles have likeness 0.8 or more, found and compared exactly. Of
+    repeated rows with that id one stays; rows with a null id stay.
     """
     import uuid
 
-    found, mine = near_duplicates(df, id_col, text_col, words), "k" + uuid.uuid4().hex
-    ids = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias(mine)).distinct()
+    mine = "k" + uuid.uuid4().hex
+    ids = like_classes(df, id_col, text_col, words).where("id = component").select(F.col("id").alias(mine)).distinct()
     named = df.where(F.col(f"`{id_col}`").isNotNull()).dropDuplicates([id_col])
     kept = named.join(ids, F.col(f"`{id_col}`") == F.col(mine)).drop(mine)
     return kept.unionByName(df.where(F.col(f"`{id_col}`").isNull()))

@@ -347,3 +347,42 @@ def test_pipeline(spark, tmp_path):
     assert out and ids <= set(range(60)) and {n for n, _ in corpus_pipeline.STAGES} == {"language_id", "simhash_dedup", "secret_scan", "mix_sources", "bpe_encode"}
     library = Tokenizer.from_file(PATH)
     assert all(r.token_ids == library.encode(rows[r.doc_id][1], add_special_tokens=False).ids for r in out)
+
+
+def test_keep_one_finds_all_likeness_of_0_8(spark, monkeypatch):
+    """Copies planted at likenesses around 0.8, a large group, hot shingles; against all pairs, compared exactly."""
+    monkeypatch.setattr(simhash, "BLOCK", 8)
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    common, texts, planted = " ".join(word() for _ in range(30)), [], []
+    jaccard = lambda a, b: len(a & b) / len(a | b)
+
+    def shingles(t):
+        w = t.lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    for k in range(40):
+        base = [word() for _ in range(200)]
+        texts.append(" ".join(base) + (" " + common if k % 2 else ""))
+        for edits in (1, 2, 3, 4, 5) if k else [rng.randint(1, 6) for _ in range(40)]:
+            copy = list(base)
+            for i in rng.sample(range(200), edits):
+                copy[i] = word()
+            texts.append(" ".join(copy) + (" " + common if k % 2 else ""))
+            planted.append(jaccard(shingles(texts[-1]), shingles(" ".join(base) + (" " + common if k % 2 else ""))))
+    texts += [common + " " + word() for _ in range(5)] + ["short one", "Short  one", "short two", "", None]
+    assert sum(0.8 <= x <= 0.95 for x in planted) >= 100 and any(x < 0.8 for x in planted)
+    sets, parent = [shingles(t or "") for t in texts], list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == sorted({find(i) for i in range(len(texts))})
