@@ -31,11 +31,13 @@ from tessera.llm.bpe import WordBpe, byte_letters
 from tessera.llm.common import Cache, file_system, held, new_folder, sliced, write_file, written
 
 MAGIC = b"TRP1"
-#: Ids of a shard (a longer document makes a longer shard), rounds of replacement, pairs replaced a round,
-#: and how often a pair occurs at least to get a rule.
-SHARD_IDS, ROUNDS, PAIRS_A_ROUND, LEAST_COUNT = 2_000_000, 5, 4096, 8
+#: Ids of a shard (a longer document makes a longer shard), pairs replaced a round, and how often a pair occurs
+#: at least to get a rule.
+SHARD_IDS, PAIRS_A_ROUND, LEAST_COUNT = 2_000_000, 4096, 8
 CACHED_WORDS, CACHED_PIECES, MOST_READERS = 250_000, 250_000, 10_000
 BUCKETS = 20
+#: Ids of all rules that are expanded beside each other at most; of longer ones symbols are expanded step by step.
+POOL_IDS = 16_000_000
 #: The id under which rows without one are filed, first of all.
 NO_ID = -(1 << 63)
 
@@ -76,60 +78,74 @@ def library(path: str) -> LibraryIds:
     return held(f"library {path}", lambda: LibraryIds(path))
 
 
-def frequent_pairs(symbols: np.ndarray, usable: np.ndarray, most: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """(codes left << 32 | right of the pairs to replace, for each place the number of its pair or -1).
+def frequent_pairs(symbols: np.ndarray, places: np.ndarray, most: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the pairs that begin at ``places``: (codes left << 32 | right of those to replace, their places, the number
+    of each place's pair, places that may hold a pair of ``least`` or more).
 
-    Pairs are counted by hash bucket in arrays, without sorting: of each bucket the pair that stands last in the
-    shard is counted exactly; others of the bucket wait for a later round.
+    Counts by hash bucket only rule places out; the pairs of all other buckets are counted one by one.
     """
-    code = symbols[:-1].astype(np.uint64) << np.uint64(32) | symbols[1:]
+    code = symbols[places].astype(np.uint64) << np.uint64(32) | symbols[places + 1]
     bucket = ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BUCKETS)).astype(np.int32)
-    own = np.zeros(1 << BUCKETS, np.uint64)
-    own[bucket] = code
-    counted = usable & (own[bucket] == code)
-    counts = np.bincount(bucket[counted], minlength=1 << BUCKETS)
-    top = max(least, int(np.partition(counts, -most)[-most]))
-    chosen = np.flatnonzero(counts >= top)
+    full = np.bincount(bucket, minlength=1 << BUCKETS)[bucket] >= least
+    places, code, bucket = places[full], code[full], bucket[full]
+    line = np.sort(code)
+    first = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1]))) if len(line) else np.zeros(0, np.int64)
+    codes, counts = line[first], np.diff(np.concatenate((first, [len(line)])))
+    codes, counts = codes[counts >= least], counts[counts >= least]
     # ties at the limit are all taken, so that the choice depends on counts alone
-    number = np.full(1 << BUCKETS, -1, np.int32)
-    number[chosen] = np.arange(len(chosen))
-    return own[chosen], np.where(counted, number[bucket], -1)
-
-
-def compress(ids: np.ndarray, ends: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, symbol ends of documents, rules, lengths): frequent pairs become nonterminals, again and again.
-
-    A round replaces a set of pairs at once: where their places overlap, the first in reading order wins.
+    chosen = codes if len(codes) <= most else codes[counts >= np.partition(counts, -most)[-most]]
+    flags = np.zeros(1 << BUCKETS, np.uint8)
+    flags[(codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BUCKETS)] = 1
+    flags[(chosen * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BUCKETS)] = 2
+    flag = flags[bucket]
+    at, own = places[flag == 2], code[flag == 2]
+    number = np.minimum(np.searchsorted(chosen, own), max(0, len(chosen) - 1))
+    same = chosen[number] == own if len(own) else np.zeros(0, bool)
+    return chosen, at[same], number[same], places[flag > 0]
+
+
+def compress(ids: np.ndarray, ends: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    """(symbols, symbol ends of documents, rules, lengths, rounds): frequent pairs become nonterminals, again and again
+    until no pair within a document occurs LEAST_COUNT times.
+
+    A round replaces a set of pairs at once: where their places overlap, the first in reading order wins. What is
+    counted again are pairs that were frequent, and those with a new symbol; all others can't become so.
     """
     symbols, doc_ends = ids.astype(np.uint32), ends.astype(np.int64)
     rules: list[np.ndarray] = []
-    lengths = np.ones(terminals, np.uint32)
-    for _ in range(ROUNDS):
-        if len(symbols) < 2:
+    base, length_of = terminals, np.ones(terminals, np.uint32)
+    open_at = np.ones(len(symbols), bool)
+    while len(symbols) > 1:
+        open_at[-1] = False
+        open_at[doc_ends[doc_ends > 0] - 1] = False
+        pairs, at, number, still = frequent_pairs(symbols, np.flatnonzero(open_at), PAIRS_A_ROUND, LEAST_COUNT)
+        if not len(pairs):
             break
-        usable = np.ones(len(symbols) - 1, bool)
-        inner = doc_ends[(doc_ends > 0) & (doc_ends < len(symbols))]
-        usable[inner - 1] = False
-        pairs, at = frequent_pairs(symbols, usable, PAIRS_A_ROUND, LEAST_COUNT)
         # of a run of places next to each other every other one is taken
-        places = np.flatnonzero(at >= 0)
-        if not len(places):
-            break
-        starts = np.concatenate(([True], np.diff(places) > 1))
-        first = np.maximum.accumulate(np.where(starts, np.arange(len(places)), 0))
-        places = places[(np.arange(len(places)) - first) % 2 == 0]
-        base = len(lengths)
+        starts = np.concatenate(([True], np.diff(at) > 1))
+        first = np.maximum.accumulate(np.where(starts, np.arange(len(at)), 0))
+        taken = (np.arange(len(at)) - first) % 2 == 0
+        places, number = at[taken], number[taken]
+        # pairs that overlaps left without a place get no rule yet
+        used = np.bincount(number, minlength=len(pairs)) > 0
+        pairs, number = pairs[used], (np.cumsum(used) - 1)[number]
         new = (pairs >> np.uint64(32)).astype(np.uint32), (pairs & np.uint64(0xFFFFFFFF)).astype(np.uint32)
         rules.append(np.stack(new, axis=1))
-        lengths = np.concatenate((lengths, lengths[new[0]] + lengths[new[1]]))
+        length_of = np.concatenate((length_of, length_of[new[0]] + length_of[new[1]]))
         symbols = symbols.copy()
-        symbols[places] = base + at[places]
-        gone = np.zeros(len(symbols), bool)
-        gone[places + 1] = True
+        symbols[places] = base + number
+        base += len(pairs)
+        open_at = np.zeros(len(symbols), bool)
+        open_at[still] = open_at[places] = True
+        # a pair that begins before a new symbol is new, too
+        left = np.ones(len(symbols), bool)
+        left[places + 1] = False
         doc_ends = doc_ends - np.searchsorted(places + 1, doc_ends, side="left")
-        symbols = symbols[~gone]
+        symbols, open_at = symbols[left], open_at[left]
+        fresh = np.flatnonzero(symbols >= base - len(pairs))
+        open_at[np.maximum(fresh - 1, 0)] = True
     made = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
-    return symbols, doc_ends, made, lengths[terminals:]
+    return symbols, doc_ends, made, length_of[terminals:], len(rules)
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, terminals: int) -> np.ndarray:
@@ -145,12 +161,32 @@ def expand(symbols: np.ndarray, rules: np.ndarray, terminals: int) -> np.ndarray
     return symbols
 
 
+def pool_of(rules: np.ndarray, lengths: np.ndarray, begins: np.ndarray, terminals: int) -> np.ndarray:
+    """The ids of all rules side by side; rules that need none of each other are copied together from those before."""
+    pool, deepest, a = np.empty(int(lengths.sum()), np.uint32), rules.max(axis=1), 0
+    while a < len(rules):
+        later = deepest[a:] >= terminals + a
+        b = a + int(np.argmax(later)) if later.any() else len(rules)
+        to = begins[a:b]
+        for symbols in rules[a:b].T.astype(np.int64):
+            rule = np.maximum(symbols - terminals, 0)
+            sizes = np.where(symbols < terminals, 1, lengths[rule])
+            step = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            ids = pool[np.repeat(begins[rule], sizes) + step]
+            pool[np.repeat(to, sizes) + step] = np.where(np.repeat(symbols < terminals, sizes), np.repeat(symbols, sizes), ids)
+            to = to + sizes
+        a = b
+    return pool
+
+
 def expand_all(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, terminals: int) -> np.ndarray:
     """As ``expand``, for many symbols: every rule is expanded once, then copied to its places."""
     if not len(rules):
         return symbols
-    pool = expand(np.arange(terminals, terminals + len(rules), dtype=np.uint32), rules, terminals)
+    if lengths.sum(dtype=np.int64) > POOL_IDS:
+        return expand(symbols, rules, terminals)
     begins = np.concatenate(([0], np.cumsum(lengths.astype(np.int64))[:-1]))
+    pool = pool_of(rules, lengths.astype(np.int64), begins, terminals)
     rule = symbols.astype(np.int64) - terminals
     inner = rule >= 0
     sizes = np.ones(len(symbols), np.int64)
@@ -166,8 +202,8 @@ def expand_all(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, term
 
 
 def shard_bytes(doc_ids: np.ndarray, ids: np.ndarray, ends: np.ndarray, terminals: int) -> list[bytes]:
-    symbols, symbol_ends, rules, lengths = compress(ids, ends, terminals)
-    parts = [MAGIC + struct.pack("<6I", len(doc_ids), len(ids), len(symbols), len(rules), terminals, ROUNDS)]
+    symbols, symbol_ends, rules, lengths, rounds = compress(ids, ends, terminals)
+    parts = [MAGIC + struct.pack("<6I", len(doc_ids), len(ids), len(symbols), len(rules), terminals, rounds)]
     parts += [x.astype(t).tobytes() for x, t in ((doc_ids, "<i8"), (ends, "<u4"), (symbol_ends, "<u4"), (rules, "<u4"), (lengths, "<u4"), (symbols, "<u4"))]
     crc = 0
     for p in parts:

@@ -386,3 +386,24 @@ def test_keep_one_finds_all_likeness_of_0_8(spark, monkeypatch):
                 parent[max(a, b)] = min(a, b)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == sorted({find(i) for i in range(len(texts))})
+
+
+def test_repair_ends_when_no_pair_is_frequent(monkeypatch):
+    """Long passages repeated in documents become few symbols, and no frequent pair is left in any document."""
+    rng = np.random.default_rng(14)
+    passage = rng.integers(0, 5000, 3000)
+    docs = [np.concatenate((rng.integers(0, 60, 20), passage, rng.integers(0, 5000, 50))) for _ in range(40)] + [np.full(5000, 7), passage[:1], passage[:0]]
+    ids, ends = np.concatenate(docs).astype(np.uint32), np.cumsum([len(d) for d in docs])
+    shard = repair.Shard(b"".join(repair.shard_bytes(np.arange(len(docs)), ids, ends, 5000)))
+    assert shard.lengths.max() > 1000
+    counts, start = {}, 0
+    for end in shard.symbol_ends.tolist():
+        own = shard.symbols[start:end].tolist()
+        start = end
+        for pair in zip(own, own[1:], strict=False):
+            counts[pair] = counts.get(pair, 0) + 1
+    assert max(counts.values()) < repair.LEAST_COUNT
+    assert all((shard.document(k) == d).all() and len(shard.document(k)) == len(d) for k, d in enumerate(docs))
+    for most in (repair.POOL_IDS, 10):
+        monkeypatch.setattr(repair, "POOL_IDS", most)
+        assert (repair.expand_all(shard.symbols, shard.rules, shard.lengths, 5000) == ids).all()
