@@ -22,7 +22,7 @@ from tessera.llm.common import held, sliced
 
 WORDS = regex.compile(r"\p{L}[\p{L}\p{M}'’]*")
 LETTER = regex.compile(r"\p{L}")
-#: Feature weights are hashed to so many rows. Chains of at most so many words; of a longer word both ends count.
+#: Feature weights are hashed to so many rows. Chains of at most so many words; longer words are cut.
 ROWS, CHAIN, LONG_WORD = 1 << 15, 48, 48
 #: The most labelled texts that the sample takes and the chains it takes of each, those of least hash, and training.
 SAMPLE_TEXTS, SAMPLE_CHAINS, EPOCHS, RATE, DECAY = 800, 6, 6, 0.2, 1e-5
@@ -30,16 +30,18 @@ UNKNOWN = "und"
 CACHED_WORDS = 300_000
 
 
-def trimmed(word: str) -> str:
-    """Lower case, both ends of a long word."""
-    w = word.lower()
-    return w if len(w) <= LONG_WORD else w[: LONG_WORD // 2] + w[-LONG_WORD // 2 :]
+def words_of(text: str) -> list[str]:
+    """Runs of letters in order; longer ones are cut into pieces that overlap by two characters, so that no n-gram is lost."""
+    words = WORDS.findall(text)
+    if all(len(w) <= LONG_WORD for w in words):
+        return words
+    return [w[i : i + LONG_WORD] for w in words for i in range(0, max(1, len(w) - 2), LONG_WORD - 2)]
 
 
 def features(words: list[str], lexicon: frozenset[str] | set[str]) -> Iterator[tuple[list[int], np.ndarray]]:
     """(indexes of words of one length, their rows of the weight table): the word if the lexicon has it, prefixes
     to 3 characters, suffixes to 4, n-grams of 2 and 3 with the word's ends; whatever the case."""
-    lower = [trimmed(w) for w in words]
+    lower = [w.lower() for w in words]
     order = sorted(range(len(words)), key=lambda i: len(lower[i]))
     start = 0
     for i in range(1, len(order) + 1):
@@ -116,7 +118,7 @@ def train(samples: list[tuple[str, str]]) -> Model:
     labels = sorted({lang for _, lang in samples})
     picked: list[tuple[list[str], int]] = []
     for text, lang in samples:
-        every = sorted(chains_of(WORDS.findall(text)), key=lambda c: crc32(" ".join(c).encode("utf-8", "surrogatepass")))
+        every = sorted(chains_of(words_of(text)), key=lambda c: crc32(" ".join(c).encode("utf-8", "surrogatepass")))
         picked += [(c, labels.index(lang)) for c in every[:SAMPLE_CHAINS]]
     counts: dict[str, int] = {}
     for words, _ in picked:
@@ -212,7 +214,7 @@ def emission_cache(model: Model) -> Emissions:
 def decide(model: Model, texts: list[str | None], emissions: Emissions) -> tuple[list[str], list[float]]:
     """Language and score of each text; the score is the mean probability of the language over the words."""
     k = max(1, len(model.labels))
-    found = [WORDS.findall(t) if t else [] for t in texts]
+    found = [words_of(t) if t else [] for t in texts]
     lengths, owner = [], []
     for i, words in enumerate(found):
         for start in range(0, len(words), CHAIN):

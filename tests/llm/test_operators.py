@@ -407,3 +407,15 @@ def test_repair_ends_when_no_pair_is_frequent(monkeypatch):
     for most in (repair.POOL_IDS, 10):
         monkeypatch.setattr(repair, "POOL_IDS", most)
         assert (repair.expand_all(shard.symbols, shard.rules, shard.lengths, 5000) == ids).all()
+
+
+def test_language_of_long_runs_is_that_of_the_whole_run():
+    """Text without spaces that begins and ends in one language but is mostly another."""
+    rng = random.Random(15)
+    model = crf.train([(made_text(rng, lang), lang) for lang in "xy" for _ in range(60)])
+    ends, middle = "".join(rng.choice(["ka", "lo", "mi", "tu"]) for _ in range(20)), "".join(rng.choice(["sch", "ung", "ber", "keit"]) for _ in range(200))
+    assert crf.decide(model, [ends + middle + ends, middle[:150] + ends * 10 + middle[:150]], crf.Emissions(model))[0] == ["y", "x"]
+    run = "".join(rng.choice("abcdefg") for _ in range(501))
+    pieces = crf.words_of(run)
+    assert max(map(len, pieces)) <= crf.LONG_WORD and {p[i : i + 3] for p in pieces for i in range(len(p) - 2)} == {run[i : i + 3] for i in range(499)}
+    assert pieces[0] + "".join(p[2:] for p in pieces[1:]) == run
