@@ -15,7 +15,7 @@ from zlib import crc32
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import held, sliced
@@ -170,14 +170,16 @@ def train(samples: list[tuple[str, str]]) -> Model:
 def fit(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, most: int = SAMPLE_TEXTS) -> Model:
     """Train on a bounded sample of the labelled rows: the ``most`` of least hash of their ids, by language evenly.
 
-    The ids alone are ranked first; then the texts of the sample are fetched.
+    Every language has its share, at least one text, so more languages than ``most`` make a larger sample. The ids
+    alone are ranked first; then the texts of the sample are fetched.
     """
     ids = labelled.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("h"))
-    langs = [r[0] for r in ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(64).collect()]
-    if not langs:
+    n_langs = ids.agg(F.count_distinct("lang")).first()[0]
+    if not n_langs:
         return Model([], np.zeros((ROWS, 1), np.float32), np.zeros((1, 1)), set())
-    each = max(1, most // len(langs))
-    chosen = [r for lang in langs for r in ids.where(F.col("lang") == lang).orderBy("h", "id").limit(each).collect()]
+    each = max(1, most // n_langs)
+    ranked = ids.where("lang is not null").withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id")))
+    chosen = ranked.where(F.col("k") <= each).collect()
     by_id = {r["id"]: r["lang"] for r in chosen}
     rows = labelled.where(F.col(id_col).isin(list(by_id))).select(id_col, text_col, lang_col).toPandas()
     rows = rows.sort_values([id_col, text_col]).drop_duplicates(id_col)

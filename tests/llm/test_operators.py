@@ -419,3 +419,13 @@ def test_language_of_long_runs_is_that_of_the_whole_run():
     pieces = crf.words_of(run)
     assert max(map(len, pieces)) <= crf.LONG_WORD and {p[i : i + 3] for p in pieces for i in range(len(p) - 2)} == {run[i : i + 3] for i in range(499)}
     assert pieces[0] + "".join(p[2:] for p in pieces[1:]) == run
+
+
+def test_language_learns_more_than_64_languages(spark):
+    rows = [(100 * k + i, " ".join(f"{chr(0x4E00 + 7 * k)}{chr(0x4E00 + 7 * k + j)}" for j in range(7)), f"l{k:02d}") for k in range(80) for i in range(3 + k % 2)]
+    df = spark.createDataFrame([*rows, (99999, "no", None)], "doc_id long, text string, lang string")
+    model = crf.fit(df, "doc_id", "text", "lang")
+    assert model.labels == [f"l{k:02d}" for k in range(80)]
+    assert len(crf.fit(df, "doc_id", "text", "lang", most=40).labels) == 80
+    got = {r.doc_id: r.lang_pred for r in crf.languages(df, model).collect()}
+    assert sum(got[i] == lang for i, _, lang in rows) >= 0.95 * len(rows)
