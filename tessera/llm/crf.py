@@ -27,6 +27,9 @@ ROWS, CHAIN, LONG_WORD = 1 << 15, 48, 48
 #: The most labelled texts that the sample takes and the chains it takes of each, those of least hash, and training.
 SAMPLE_TEXTS, SAMPLE_CHAINS, EPOCHS, RATE, DECAY = 800, 6, 6, 0.2, 1e-5
 UNKNOWN = "und"
+#: ``accepted`` looks at texts of at least so many words. The probability of each word's likeliest language,
+#: without the chain, has to be on average so far on the way from chance to certainty.
+JUDGED_WORDS, OWN_SHARE = 20, 0.3
 CACHED_WORDS = 300_000
 
 
@@ -250,6 +253,25 @@ def decide(model: Model, texts: list[str | None], emissions: Emissions) -> tuple
     return names, scores
 
 
+def supported(model: Model, texts: list[str | None], emissions: Emissions) -> np.ndarray:
+    """Whether words by themselves, without their chain, each tell a language well enough; short texts pass.
+
+    Languages may differ from word to word, so texts of several languages pass, too."""
+    found = [words_of(t) if t else [] for t in texts]
+    sizes = np.array([len(w) for w in found], np.int64)
+    out = np.ones(len(texts), bool)
+    judged = np.flatnonzero(sizes >= JUDGED_WORDS)
+    if len(judged) and model.labels:
+        own = emissions.of([found[i] for i in judged])
+        own = np.exp(own - own.max(axis=1, keepdims=True))
+        own /= own.sum(axis=1, keepdims=True)
+        starts = np.concatenate(([0], np.cumsum(sizes[judged])[:-1]))
+        mean = np.add.reduceat(own.max(axis=1), starts, dtype=np.float64) / sizes[judged]
+        chance = 1 / len(model.labels)
+        out[judged] = mean >= chance + OWN_SHARE * (1 - chance)
+    return out
+
+
 def forward_backward_marginals(scores: np.ndarray, lengths: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarray, None]:
     """Marginals only; words are the leading axis inside, so that every step works on one stretch of memory."""
     n, t, k = scores.shape
@@ -303,3 +325,23 @@ def with_language(df: DataFrame, model: Model, text_col: str = "text") -> DataFr
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*kept, "lang_pred", "score"])
 
     return rest.mapInArrow(run, rest.select("*").schema.add("lang_pred", "string").add("score", "double"))
+
+
+def accepted(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """Rows of ``df`` whose text the model names a language for and ``supported`` lets pass.
+
+    If nothing was learned, those whose text has a letter.
+    """
+    place = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        emissions = emission_cache(model)
+        for batch in sliced(batches, 500):
+            texts = batch.column(place).to_pylist()
+            if model.labels:
+                keep = supported(model, texts, emissions) & [name != UNKNOWN for name in decide(model, texts, emissions)[0]]
+            else:
+                keep = np.array([bool(t and LETTER.search(t)) for t in texts], bool)
+            yield batch.filter(pa.array(keep))
+
+    return df.mapInArrow(run, df.schema)

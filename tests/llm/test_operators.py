@@ -429,3 +429,18 @@ def test_language_learns_more_than_64_languages(spark):
     assert len(crf.fit(df, "doc_id", "text", "lang", most=40).labels) == 80
     got = {r.doc_id: r.lang_pred for r in crf.languages(df, model).collect()}
     assert sum(got[i] == lang for i, _, lang in rows) >= 0.95 * len(rows)
+
+
+def test_language_stage_of_the_pipeline_lets_the_model_decide(spark):
+    import corpus_pipeline
+
+    rng = random.Random(16)
+    texts = [(i, made_text(rng, "xy"[i % 2]), "xy"[i % 2]) for i in range(200)]
+    noise = ["".join(chr(rng.randrange(0x430, 0x450)) if rng.random() < 0.8 else " " for _ in range(400)) for _ in range(30)]
+    rows = [*texts, *[(1000 + i, t, None) for i, t in enumerate(noise)], (2000, "?! 12", "x"), (2001, None, "x"), (None, "kalomi tu", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    kept = [r.doc_id for r in corpus_pipeline.language_id(spark, df, "").collect()]
+    assert set(range(200)) | {None} <= set(kept) and not {2000, 2001} & set(kept)
+    assert sum(i is not None and i >= 1000 for i in kept) <= 2
+    without = spark.createDataFrame([(i, t, None) for i, t, _ in rows], "doc_id long, text string, lang string")
+    assert {r.doc_id for r in corpus_pipeline.language_id(spark, without, "").collect()} == {i for i, *_ in rows} - {2000, 2001}
