@@ -6,13 +6,12 @@ import hashlib
 import heapq
 import json
 import re
-import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType
+from tokenizers import Tokenizer
 
 from tessera.llm.common import Cache, held, sliced
 
@@ -69,7 +68,9 @@ def merge(symbols: list[int], ranks: dict[tuple[int, int], tuple[int, int]]) ->
 
 class WordBpe:
     """A tokenizer file of kind "BPE with word ends": NFC, white space runs to one space, lower case, then
-    pieces by pattern, bytes as letters, merges. Special tokens' strings in a text become their ids."""
+    pieces by pattern, bytes as letters, merges. Special tokens' strings in a text become their ids.
+
+    Merging and decoding are this class's own. The library only normalises and cuts what isn't printable ASCII."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -79,15 +80,18 @@ class WordBpe:
         self.strings: dict[int, str] = {i: s for s, i in vocab.items()} | {i: s for s, i in special.items()}
         self.decimals = {i: str(i) for i in self.strings}
         self.special = special
-        self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         (pattern,) = (x["pattern"]["Regex"] for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
-        self.pattern = regex.compile(pattern)
-        # ASCII has 52 letters and 10 digits, and its white space is that of re.ASCII
+        # printable ASCII has 52 letters and 10 digits; all else is normalised and cut by the library itself, whose
+        # character classes are of another version of Unicode than Python's
         narrow = pattern.replace(r"\p{L}", "A-Za-z").replace(r"\p{N}", "0-9")
-        self.ascii_pattern = self.pattern if r"\p" in narrow else re.compile(narrow, re.ASCII)
+        self.ascii_pattern = None if r"\p" in narrow else re.compile(narrow, re.ASCII)
+        self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
         letters = byte_letters()
-        self.first = [vocab.get(c, -1) for c in letters]
-        self.last = [vocab.get(c + self.end, -1) for c in letters]
+        self.first = {c: vocab.get(c, -1) for c in letters}
+        self.last = {c: vocab.get(c + self.end, -1) for c in letters}
         self.ranks = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(map(tuple, spec["model"]["merges"]))}
         self.pieces = Cache(CACHED_WORDS)
         self.pieces.make = self.piece
@@ -95,18 +99,16 @@ class WordBpe:
         self.words.make = self.word
 
     def piece(self, piece: str) -> tuple[int, ...]:
-        """Ids of one piece; the last byte carries the word end."""
-        data = piece.encode("utf-8", "surrogatepass")
-        symbols = [self.first[b] for b in data[:-1]] + [self.last[data[-1]]]
+        """Ids of one piece, given as the letters of its bytes; the last byte carries the word end."""
+        symbols = [*map(self.first.__getitem__, piece[:-1]), self.last[piece[-1]]]
         return tuple(merge([x for x in symbols if x >= 0], self.ranks))
 
     def cut_up(self, text: str) -> list[str]:
-        """Normalised pieces of a stretch without special tokens; lower case is taken character by character."""
-        if text.isascii():
+        """Normalised pieces of a stretch without special tokens, as the letters of their bytes."""
+        # printable ASCII stands for itself
+        if self.ascii_pattern is not None and text.isascii() and text.isprintable():
             return self.ascii_pattern.findall(text.lower())
-        text = unicodedata.normalize("NFC", text)
-        # of all characters only the capital sigma has a lower case that depends on its neighbours
-        return self.pattern.findall(text.lower() if "Σ" not in text else "".join(c.lower() for c in text))
+        return [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))]
 
     def plain(self, text: str) -> list[int]:
         out: list[int] = []
@@ -162,7 +164,8 @@ def with_tokens(df: DataFrame, path: str, text_col: str = "text", ids_col: str =
 def digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, number of tokens, SHA-256 of the decimal ids joined by a space and of the decoded text.
 
-    The ids are those of ``with_tokens``; they stay in the worker, only the digests leave it.
+    The ids are those of ``with_tokens``; they stay in the worker, only the digests leave it. Null texts count as
+    empty; repeated rows each get a row, an empty table gives none, further columns don't matter.
     """
     schema = df.select(id_col).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
 
@@ -175,7 +178,7 @@ def digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
                 ids = bpe.encode(text)
                 n.append(len(ids))
                 a.append(hashlib.sha256(" ".join(map(name, ids)).encode()).hexdigest())
-                b.append(hashlib.sha256(bpe.decode(ids).encode("utf-8", "surrogatepass")).hexdigest())
+                b.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a), pa.array(b)], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return df.select(id_col, text_col).mapInArrow(run, schema)
