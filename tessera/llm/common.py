@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -22,18 +24,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see, as the session names it.
 
-    Only a session that names none (tests on one machine) gets a temporary one.
+    A session that names none gets a temporary one if it runs in this process; on a cluster that is an error, since
+    every machine would write to a folder of its own.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 
 
+_MADE: list[list[str]] = []
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A path of its own under the shared folder."""
-    return f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
+    if _MADE:
+        _MADE[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Folders that operators make within it are deleted at its end, so write their results elsewhere before.
+
+    Operators return DataFrames that read such folders; outside of it they stay until the shared folder is cleared.
+    """
+    _MADE.append([])
+    try:
+        yield
+    finally:
+        for path in _MADE.pop():
+            remove(spark, path)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -60,15 +85,18 @@ def file_system(path: str):
     return fs.FileSystem.from_uri(path if not path.startswith("file:/") or path.startswith("file:///") else "file://" + path[5:])
 
 
-def write_file(path: str, parts: list[bytes]) -> None:
-    """Write one file under a name of its own, then rename: repeated attempts leave one whole file."""
+def write_file(path: str, suffix: str, parts: list[bytes]) -> str:
+    """Write one file under a name that no other attempt at the task uses; the name, for the rows that tell of the file.
+
+    Only the rows of the attempt that Spark commits are read, so files of lost or repeated attempts are never met.
+    """
+    path = f"{path}-{uuid.uuid4().hex}{suffix}"
     system, at = file_system(path)
     system.create_dir(at.rsplit("/", 1)[0], recursive=True)
-    draft = f"{at}.{uuid.uuid4().hex}.tmp"
-    with system.open_output_stream(draft, compression=None) as out:
+    with system.open_output_stream(at, compression=None) as out:
         for part in parts:
             out.write(part)
-    system.move(draft, at)
+    return path
 
 
 def find(parent: dict, x):

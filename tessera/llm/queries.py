@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, crf, mixing, multiset, rabitq, repair, secrets, simhash, toxicity, warc
@@ -16,13 +16,18 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def split(n: int) -> Column:
+    """The remainder that holds documents out of training; a null id has that of the empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % n
+
+
 def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rabitq.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
+    remainder = split(3)
     model = toxicity.fit(docs.select("doc_id", "text").where(remainder != 1), labels.where(remainder != 1), "doc_id", "text", "toxic")
     scored = toxicity.scores(docs, model, "doc_id", "text")
     return scored.select("doc_id", (remainder == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
@@ -57,10 +62,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
+    remainder = split(4)
     model = crf.fit(docs.where((remainder != 2) & F.col("lang").isNotNull()), "doc_id", "text", "lang")
     found = crf.languages(docs, model, "doc_id", "text")
-    return found.select("doc_id", (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", (remainder == 2).alias("held_out"), "lang_pred", "score")
 
 
 def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,8 +100,8 @@ WITH p AS (
   SELECT page_id, COALESCE(html, '') AS html, CAST(octet_length(encode(COALESCE(html, ''))) AS BIGINT) AS payload_bytes FROM pages),
 r AS (SELECT page_id, payload_bytes, sha1(html) AS payload_digest,
   CASE WHEN payload_bytes >= 1000 THEN MAX(page_id) OVER (PARTITION BY html) ELSE page_id END AS top FROM p)
-SELECT page_id, payload_bytes, payload_digest, CASE WHEN top = page_id THEN 'response' ELSE 'revisit' END AS record_type,
-  CASE WHEN top <> page_id THEN top END AS refers_to FROM r""",
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN top IS NOT DISTINCT FROM page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN top IS DISTINCT FROM page_id THEN top END AS refers_to FROM r""",
     "op8_mixing": """
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(COALESCE(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.bpe import WordBpe, byte_letters
+from tessera.llm.bpe import WordBpe
 from tessera.llm.common import Cache, file_system, held, new_folder, sliced, write_file, written
 
 MAGIC = b"TRP1"
@@ -45,27 +45,22 @@ NO_ID = -(1 << 63)
 class LibraryIds(WordBpe):
     """Ids by the tokenizers library, as little-endian uint32 in bytes, kept by word and piece.
 
-    Normalisation and the cut into pieces are those of WordBpe, which the tests hold against the library's; each
-    piece not met yet is encoded by the library's model. That spares the library's work on words met before.
+    Stretches between spaces are independent, so a stretch not met yet is encoded by the library alone and kept.
+    Those of printable ASCII are cut into pieces first, and only pieces not met yet go to the library's model.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
         super().__init__(path)
-        self.model = Tokenizer.from_file(path).model
-        self.letters = dict(enumerate(byte_letters()))
+        self.model = self.library.model
         self.pieces, self.words = Cache(CACHED_PIECES), Cache(CACHED_WORDS)
         self.pieces.make, self.words.make = self.piece_bytes, self.word_bytes
 
     def piece_bytes(self, piece: str) -> bytes:
-        # printable ASCII stands for itself
-        letters = piece if piece.isascii() and piece.isprintable() else piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
-        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+        return array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
 
     def word_bytes(self, word: str) -> bytes:
-        if self.cut is not None and "<" in word:
-            return b"".join([array("I", [self.special[p]]).tobytes() if p in self.special else b"".join(map(self.pieces.__getitem__, self.cut_up(p))) for p in self.cut.split(word)])
+        if "<" in word or self.ascii_pattern is None or not (word.isascii() and word.isprintable()):
+            return array("I", self.library.encode(word, add_special_tokens=False).ids).tobytes()
         cut = self.cut_up(word)
         return self.pieces[cut[0]] if len(cut) == 1 else b"".join([self.pieces[p] for p in cut])
 
@@ -244,10 +239,11 @@ def write_shards(df: DataFrame, path: str, folder: str, id_col: str = "doc_id",
     """Encode whole texts, deal them in ranges of the id and write shard files; one row a file.
 
     Rows: part, shard (order of the files), path, n_docs, n_ids. Rows without an id come first, filed under
-    NO_ID; null texts are empty; rows with equal ids stand side by side, ordered by text.
+    NO_ID; null texts are empty; rows with equal ids stand side by side, ordered by a hash of their text, which also
+    parts the ranges: many rows of one id, or without id, are dealt to several tasks.
     """
-    ranged = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    ranged = ranged.repartitionByRange("id").sortWithinPartitions("id", "text")
+    ranged = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    ranged = ranged.repartitionByRange("id", "h").sortWithinPartitions("id", "h", "text").select("id", "text")
     end = struct.pack("<I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,9 +256,8 @@ def write_shards(df: DataFrame, path: str, folder: str, id_col: str = "doc_id",
 
         def flush() -> pa.RecordBatch:
             nonlocal shard, size, doc_ids, made
-            name = f"{folder}/part-{part:06d}-{shard:06d}.trp"
             ends = np.cumsum([len(x) // 4 for x in made])
-            write_file(name, shard_bytes(np.array(doc_ids, np.int64), np.frombuffer(b"".join(made), "<u4"), ends, terminals))
+            name = write_file(f"{folder}/part-{part:06d}-{shard:06d}", ".trp", shard_bytes(np.array(doc_ids, np.int64), np.frombuffer(b"".join(made), "<u4"), ends, terminals))
             row = pa.RecordBatch.from_pylist([{"part": part, "shard": shard, "path": name, "n_docs": len(doc_ids), "n_ids": int(ends[-1])}], pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
             shard, size, doc_ids, made = shard + 1, 0, [], []
             return row
@@ -291,8 +286,8 @@ def with_starts(shards: DataFrame) -> DataFrame:
 
 def read_shards(shards: DataFrame) -> DataFrame:
     """Per document, from the files: doc_id, start, n_tokens, ids_crc32."""
-    # a task for each file, up to a bound; a count by number isn't merged again as small partitions would be
-    spread = with_starts(shards).select("path", "start").repartition(max(1, min(MOST_READERS, shards.count())), F.col("path"))
+    # about a task for each file, up to a bound; a count by number isn't merged again as small partitions would be
+    spread = with_starts(shards).select("path", "start").repartitionByRange(max(1, min(MOST_READERS, shards.count())), F.col("path"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

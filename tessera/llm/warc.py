@@ -18,6 +18,8 @@ DICT_FRAME = 0x184D2A5D
 #: Payload bytes from which equal payloads are revisits, bytes of records in an archive (a longer record makes
 #: a longer archive), of the records that its dictionary is built from, and of the dictionary.
 LEAST_REVISIT, ARCHIVE_BYTES, SAMPLE_BYTES, DICT_BYTES, LEVEL = 1000, 32_000_000, 4_000_000, 65_536, 3
+#: Longer records are cut into pieces of so many bytes for the sample.
+SAMPLE_PIECE = 131_072
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 NO_ID = "none"
 #: Tasks that read, a file each up to this bound.
@@ -51,28 +53,31 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
     return headers, rest[:n]
 
 
-def build_dictionary(records: list[bytes]) -> zstandard.ZstdCompressionDict | None:
-    """A dictionary trained on records up to SAMPLE_BYTES, evenly spread; none for too few to train on."""
-    step = max(1, sum(map(len, records)) // SAMPLE_BYTES)
-    sample = [r for r in records[::step] if len(r) < SAMPLE_BYTES]
-    if len(sample) < 16 or sum(map(len, sample)) < 20_000:
-        return None
-    try:
-        return zstandard.train_dictionary(min(DICT_BYTES, sum(map(len, sample)) // 10), sample)
-    except zstandard.ZstdError:
-        return None
+def sample_of(records: list[bytes], piece: int) -> list[bytes]:
+    """Pieces of the records, every so many, that add up to about SAMPLE_BYTES at most."""
+    pieces = [r[i : i + piece] for r in records for i in range(0, len(r), piece)]
+    return pieces[:: max(1, -(-sum(map(len, records)) // SAMPLE_BYTES))]
+
+
+def build_dictionary(records: list[bytes]) -> zstandard.ZstdCompressionDict:
+    """A dictionary from the records of an archive: trained, or, where they are too few or too alike to train on, their
+    own bytes, which Zstandard takes as a dictionary of plain content."""
+    for piece in (SAMPLE_PIECE, 256):
+        sample = sample_of(records, piece)
+        try:
+            return zstandard.train_dictionary(max(1024, min(DICT_BYTES, sum(map(len, sample)) // 10)), sample)
+        except zstandard.ZstdError:
+            continue
+    return zstandard.ZstdCompressionDict(b"".join(sample_of(records, SAMPLE_PIECE))[-DICT_BYTES:], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
 
 
 def archive(records: list[bytes]) -> list[bytes]:
-    """Bytes of an archive: the dictionary's frame, if there is one, then a frame for each record."""
-    trained = build_dictionary(records)
-    out = []
-    if trained is not None:
-        # the dictionary itself is compressed without one, as the specification allows
-        packed = zstandard.ZstdCompressor(level=19).compress(trained.as_bytes())
-        out.append(struct.pack("<II", DICT_FRAME, len(packed)) + packed)
-    squeeze = zstandard.ZstdCompressor(level=LEVEL, dict_data=trained, write_checksum=True, write_content_size=True)
-    return out + [squeeze.compress(r) for r in records]
+    """Bytes of an archive: the dictionary's frame, then a frame for each record."""
+    made = build_dictionary(records)
+    # the dictionary itself is compressed without one, as the specification allows
+    packed = zstandard.ZstdCompressor(level=19).compress(made.as_bytes())
+    squeeze = zstandard.ZstdCompressor(level=LEVEL, dict_data=made, write_checksum=True, write_content_size=True)
+    return [struct.pack("<II", DICT_FRAME, len(packed)) + packed, *(squeeze.compress(r) for r in records)]
 
 
 def read_archive(stream) -> Iterator[bytes]:
@@ -111,14 +116,15 @@ def revisits(df: DataFrame, id_col: str, payload_col: str) -> DataFrame:
     shared = large.groupBy(F.col("payload_digest").alias("d")).agg(F.max(id_col).alias("response"), F.count("*").alias("n")).where("n > 1").select("d", "response")
     key = F.when(F.col("payload_bytes") >= LEAST_REVISIT, F.col("payload_digest"))
     joined = rows.join(shared, key == F.col("d"), "left")
-    return joined.withColumn("refers_to", F.when(F.col("response") != F.col(id_col), F.col("response"))).drop("d", "response")
+    return joined.withColumn("refers_to", F.when(~F.col("response").eqNullSafe(F.col(id_col)), F.col("response"))).drop("d", "response")
 
 
 def write_archives(df: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
     """Write a record for each row; one row a file: path, n_records.
 
-    Null payloads are empty, null urls and ids stand as ``none``; a row without id is a response. Rows with equal
-    ids and payloads are revisits of none, as they bear the response's id.
+    Null payloads are empty, null urls and ids stand as ``none``; a row without id is a revisit like others, but no
+    row can refer to it, so equal payloads of rows without ids alone are all responses. Rows with equal ids and
+    payloads are revisits of none, as they bear the response's id.
     """
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").alias("url"), F.col(f"`{payload_col}`").alias("html"))
     rows = revisits(rows, "page_id", "html").select("page_id", "url", "payload", "payload_digest", "refers_to")
@@ -131,8 +137,7 @@ def write_archives(df: DataFrame, folder: str, id_col: str = "page_id", url_col:
 
         def flush() -> pa.RecordBatch:
             nonlocal n, size, held
-            name = f"{folder}/pages-{part:06d}-{n:06d}.warc.zst"
-            write_file(name, archive(held))
+            name = write_file(f"{folder}/pages-{part:06d}-{n:06d}", ".warc.zst", archive(held))
             row = pa.RecordBatch.from_pylist([{"path": name, "n_records": len(held)}], pa.schema([("path", pa.string()), ("n_records", pa.int64())]))
             n, size, held = n + 1, 0, []
             return row
@@ -174,7 +179,7 @@ def read_archives(files: DataFrame) -> DataFrame:
                     raise ValueError(f"{path}: {len(rows)} records instead of {count}")
                 yield pa.RecordBatch.from_pylist(rows, kinds)
 
-    return files.repartition(max(1, min(MOST_READERS, files.count())), "path").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return files.repartitionByRange(max(1, min(MOST_READERS, files.count())), "path").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def through_archives(df: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
