@@ -73,6 +73,18 @@ def test_bpe_is_the_librarys(docs, empty):
     assert bpe.with_tokens(docs, PATH).columns == [*docs.columns, "token_ids", "decoded"]
 
 
+def test_encoders_are_the_librarys_on_all_of_unicode():
+    library, own, lib = Tokenizer.from_file(PATH), bpe.WordBpe(PATH), repair.LibraryIds(PATH)
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x3200 or 0xA000 <= c < 0xAC00 or 0xF900 <= c < 0x1FC00 or c % 211 == 0)]
+    rng = random.Random(20)
+    texts = [pattern.replace("?", chr(c)) for c in points for pattern in ("a?b1", "??'s!?")]
+    texts += ["".join(chr(rng.choice(points)) if rng.random() < 0.5 else rng.choice("aA's  \n\t.,!1<|endoftext|>é\u0301") for _ in range(rng.randint(0, 40))) for _ in range(10000)]
+    for i in range(0, len(texts), 20000):
+        part = texts[i : i + 20000]
+        for text, e in zip(part, library.encode_batch(part, add_special_tokens=False), strict=True):
+            assert own.encode(text) == e.ids == np.frombuffer(lib.bytes_of(text), "<u4").tolist(), text
+
+
 def brute_fingerprint(text):
     words = re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     if not words:
@@ -122,18 +134,12 @@ def test_simhash_links_none_lost(spark, monkeypatch):
     assert all(got[s] == find(i) for i, s in enumerate(signed))
 
 
-def test_embeddings(spark, monkeypatch):
-    monkeypatch.setattr(rabitq, "BLOCK", 16)
-    rng = np.random.default_rng(4)
-    rows = []
-    for k in range(6):
-        base = rng.standard_normal(32)
-        rows += [(base + rng.standard_normal(32) * s, k % 2) for s in (0, 0, 0.1, 0.3, 0.5) for _ in range(4)]
-    data = [(i, [float(np.float32(x)) for x in v], lab, "x") for i, (v, lab) in enumerate(rows)]
-    data += [(900, None, 0, "x"), (901, [0.0] * 32, 0, None), (902, [float("nan")] * 32, 0, "x"), (903, [1.0] * 31 + [None], 0, "x"), (904, data[0][1], None, "x"), (905, data[0][1], 0, "x"), (906, [1.0, 2.0], 0, "x")]
-    schema = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("embedding", T.ArrayType(T.FloatType())), T.StructField("label", T.IntegerType()), T.StructField("id", T.StringType())])
-    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in rabitq.near_duplicates(spark.createDataFrame(data, schema)).collect()}
-    good = [(i, np.array(v), lab) for i, v, lab, _ in data if i < 900 or i == 905]
+VECTORS = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("embedding", T.ArrayType(T.DoubleType())), T.StructField("label", T.IntegerType()), T.StructField("id", T.StringType())])
+
+
+def brute_links(data):
+    """(n_links, component_id, kept) by row of (vec_id, vector, label), vec_ids unique, by all pairs in double precision."""
+    good = [(i, np.array(v, float) / max(map(abs, v)), lab) for i, v, lab, *_ in data if v and lab is not None and all(x is not None and np.isfinite(x) for x in v) and any(v)]
     parent = {i: i for i, *_ in data}
     count = dict.fromkeys(parent, 0)
 
@@ -142,15 +148,66 @@ def test_embeddings(spark, monkeypatch):
             x = parent[x]
         return x
 
-    for i, v, a in good:
-        for j, w, b in good:
-            if i < j and a == b and v @ w / np.linalg.norm(v) / np.linalg.norm(w) >= 0.93:
+    for k, (i, v, a) in enumerate(good):
+        for j, w, b in good[:k]:
+            if a == b and len(v) == len(w) and v @ w / np.linalg.norm(v) / np.linalg.norm(w) >= 0.93:
                 count[i] += 1
                 count[j] += 1
                 x, y = find(i), find(j)
                 parent[max(x, y)] = min(x, y)
-    assert got == {i: (count[i], find(i), i == find(i)) for i in parent}
-    assert rabitq.near_duplicates(spark.createDataFrame([], schema)).collect() == []
+    return {i: (count[i], find(i), i == find(i)) for i in parent}
+
+
+@pytest.mark.parametrize("block", [16, 1 << 14])
+def test_embeddings(spark, monkeypatch, block):
+    """Clusters around directions, pairs on either side of the threshold, lengths 1, 2, 64 and 768, odd vectors; with
+    blocks so small that labels are clustered around pivots."""
+    monkeypatch.setattr(rabitq, "BLOCK", block)
+    rng = np.random.default_rng(4)
+    data = []
+    for k in range(8):
+        base = rng.standard_normal(64)
+        data += [(base + rng.standard_normal(64) * s, k % 2) for s in (0, 0, 0.1, 0.3, 0.38, 0.5) for _ in range(8)]
+    for d in (1, 2, 64, 768):
+        x = rng.standard_normal(d) / np.sqrt(d)
+        data += [(x, 2), (x * 3, 2), (-x, 2), (x * 1e-200, 2), (x * 1e200, 2)]
+        if d > 1:
+            y = rng.standard_normal(d)
+            y -= x * (x @ y) / (x @ x)
+            y *= np.linalg.norm(x) / np.linalg.norm(y)
+            data += [(c * x + np.sqrt(1 - c * c) * y, 3 + j) for j, e in enumerate((1e-9, -1e-9)) for c in (1.0, 0.93 + e)]
+    data = [(i, v.tolist(), lab, "x") for i, (v, lab) in enumerate(data)]
+    one = data[0][1]
+    data += [(900, None, 0, "x"), (901, [0.0] * 64, 0, None), (902, [float("nan")] * 64, 0, "x"), (903, [1.0] * 63 + [None], 0, "x"), (904, one, None, "x"), (905, one, 0, "x"), (906, [], 0, "x"), (907, [float("inf")] * 64, 0, "x")]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in rabitq.near_duplicates(spark.createDataFrame(data, VECTORS).repartition(3)).collect()}
+    want = brute_links(data)
+    assert got == want and sum(n for n, *_ in want.values()) > 2000
+    assert rabitq.near_duplicates(spark.createDataFrame([], VECTORS)).collect() == []
+
+
+def test_embeddings_rule_out_blocks_without_losing_links(spark, monkeypatch):
+    """Tight clusters far apart: most pairs of blocks aren't compared, and links across blocks are found."""
+    monkeypatch.setattr(rabitq, "BLOCK", 40)
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((6, 32))
+    rows = [(centres[i % 6] + rng.standard_normal(32) * rng.choice([0.05, 0.25]), 1) for i in range(1200)]
+    data = [(i, v.tolist(), lab, "x") for i, (v, lab) in enumerate(rows)]
+    df = spark.createDataFrame(data, VECTORS)
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in rabitq.near_duplicates(df).collect()}
+    assert got == brute_links(data)
+    from pyspark.sql import functions as F
+
+    reps = df.select(F.lit("1").alias("label"), F.size("embedding").alias("d"), F.col("vec_id").alias("rid"), "embedding")
+    codes = rabitq.encoded(reps).cache()
+    moved = rabitq.dealt(codes, codes.groupBy("label", "d").agg(F.count("*").alias("n"))).count()
+    assert moved < 0.5 * 1200 * (1200 / 40)
+
+
+def test_embeddings_repeated_ids(spark):
+    """Rows that share an id each link as vectors of their own."""
+    data = [(5, [1.0, 0.0], 1, "x"), (5, [1.0, 0.0], 1, "x"), (5, [0.0, 1.0], 1, "x"), (7, [0.01, 1.0], 1, "x"), (3, [1.0, 0.01], 1, "x")]
+    rows = sorted(tuple(r) for r in rabitq.near_duplicates(spark.createDataFrame(data, VECTORS)).collect())
+    assert rows == [(3, 2, 3, True), (5, 1, 5, True), (5, 2, 3, False), (5, 2, 3, False), (7, 1, 5, False)]
 
 
 def test_rabitq_estimates_are_unbiased_within_bounds():
@@ -159,7 +216,12 @@ def test_rabitq_estimates_are_unbiased_within_bounds():
     turned, codes, factors = rabitq.encode(x)
     error = rabitq.estimates(turned, codes, factors) - x @ x.T
     assert abs(error[~np.eye(600, dtype=bool)].mean()) < 0.005
-    assert (np.abs(error) <= rabitq.bound(factors, 64)[None, :]).all()
+    assert (np.abs(error) <= rabitq.bound(factors, 64, 6.0)[None, :]).all()
+    # the certain bound: no product falls below what its pair's cosine implies
+    cosines, products = x @ x.T, (turned @ (np.unpackbits(codes, axis=1, count=64) * 2.0 - 1).T) / 8
+    for t in (-0.2, 0.1, 0.3):
+        least = rabitq.least_products(factors, t)[None, :]
+        assert (products >= least)[cosines >= t].all()
 
 
 def test_multiset(spark, docs, empty):
@@ -175,11 +237,57 @@ def test_multiset(spark, docs, empty):
     assert at[1].fingerprint == at[2].fingerprint != at[8].fingerprint and at[1].near_next == 1.0
     assert all(0 <= x <= 1 for r in rows for x in (r.near_edited, r.near_next))
     assert multiset.with_edits(empty).collect() == []
-    many = spark.createDataFrame([(1, "a b. c d. e"), (2, " e. a b. c d"), (3, "c d. e"), (4, "a b")], "doc_id long, text string")
+
+
+def brute_vector(text):
+    """Sums of the lanes, the number of paragraphs and the sums of signs, from Spark's own hash of each paragraph."""
+    pieces = [p for p in (x.strip(" \t\r\x0b\x0c") for x in re.split(r"[\n.!?]+", text)) if p]
+    return pieces, lambda hashed: (
+        [sum(h[i // 2] >> 32 * (i % 2) & 0xFFFFFFFF for h in hashed) % (1 << 32) for i in range(multiset.WIDE)],
+        [sum(2 * (h[multiset.WIDE // 2 + j] >> k & 1) - 1 for h in hashed) for half in (0, 32) for j in range(multiset.SIGNS // 64) for k in range(half, half + 32)],
+    )
+
+
+def test_multiset_sums_against_brute_force(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(21)
+    words = ["a", "b b", "ccc", "d", " e ", "f\t"]
+    texts = ["".join(rng.choice(words) + rng.choice([". ", "\n", "!?", " "]) for _ in range(rng.randint(0, 30))) for _ in range(40)] + ["", ".", "ab\n" * 5000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.fingerprint for r in multiset.fingerprints(df).collect()}
+    flat = sorted({p for t in texts for p in brute_vector(t)[0]})
+    hashed = spark.createDataFrame([(p,) for p in flat], "p string").select("p", F.array(*multiset.hashes(F.col("p"))).alias("h")).collect()
+    of = {r.p: [x % (1 << 64) for x in r.h] for r in hashed}
+    signs = {}
+    for i, t in enumerate(texts):
+        pieces, sums = brute_vector(t)
+        lanes, signs[i] = sums([of[p] for p in pieces])
+        assert got[i] == "".join(f"{x:08x}" for x in lanes) + f":{len(pieces)}:" + ",".join(map(str, signs[i]))
+    v, f = multiset.vector, F.col
+    pairs = spark.createDataFrame([(texts[i], texts[i + 1], got[i], got[i + 1]) for i in range(40)], "a string, b string, fa string, fb string")
+    both = pairs.select(
+        multiset.named(v(f("a"))).alias("a"), multiset.named(multiset.plus(multiset.parsed(f("fa")), v(f("b")))).alias("plus"), multiset.named(v(F.concat("a", F.lit("\n"), "b"))).alias("joined"),
+        multiset.named(multiset.minus(v(F.concat("b", F.lit("\n"), "a")), multiset.parsed(f("fb")))).alias("minus"), multiset.likeness(multiset.parsed(f("fa")), multiset.parsed(f("fb"))).alias("like"),
+    )
+    for i, r in enumerate(both.collect()):
+        assert r.a == got[i] == r.minus and r.plus == r.joined
+        a, b = np.array(signs[i], float), np.array(signs[i + 1], float)
+        size = np.linalg.norm(a) * np.linalg.norm(b)
+        assert np.isclose(r.like, 1.0 if got[i] == got[i + 1] else np.clip(a @ b / size, 0, 1) if size else 0.0)
+
+
+def test_multiset_is_independent_of_order(spark):
+    many = spark.createDataFrame([(1, "a b. c d. e"), (2, " e. a b. c d"), (3, "c d. a b. e"), (4, "x. y. z."), (5, "z. y. x"), (6, "x. y. y. z")], "doc_id long, text string")
     fp = {r.doc_id: r.fingerprint for r in multiset.fingerprints(many).collect()}
-    lanes = lambda s: [int(s[i : i + 8], 16) for i in range(0, len(s), 8)]
-    added = [(x + y) % (1 << 32) for x, y in zip(lanes(fp[3]), lanes(fp[4]), strict=True)]
-    assert added[-1] == 3 and lanes(fp[1])[-1] == lanes(fp[2])[-1] == 3
+    assert fp[1] == fp[2] == fp[3] and fp[4] == fp[5] != fp[6]
+
+
+def test_multiset_of_many_repeats(spark):
+    """Rows repeated thousands of times beside each other: each is one document in the order, none is paired with each copy."""
+    rows = [(1, "a. b. c")] * 3000 + [(2, "a. b. d")] * 3000
+    got = multiset.with_edits(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).groupBy("doc_id").agg({"*": "count", "near_next": "min"}).collect()
+    assert {r.doc_id: r["count(1)"] for r in got} == {1: 3000, 2: 3000} and len({r["min(near_next)"] for r in got}) == 1
 
 
 def test_mixing(docs, empty, spark):
@@ -233,8 +341,17 @@ def test_warc(spark):
     assert all(at[i].payload_digest == hashlib.sha1((h or "").encode()).hexdigest() for i, _, h, _ in pages)
     assert warc.through_archives(df.limit(0)).collect() == []
     records = [warc.record(i, "u", h.encode(), "d", None) for i, _, h, _ in pages[:60]]
-    data = b"".join(warc.archive(records))
-    assert data[:4] == b"\x5d\x2a\x4d\x18" and list(warc.read_archive(BytesIO(data))) == records
+    # every archive leads with its dictionary, however few or odd its records are
+    for some in (records, records[:1], [b"x"], [b"abc" * 10] * 3, [b"q" * 300000], [rng.randbytes(50000)], [bytes([i]) * 20 for i in range(15)]):
+        data = b"".join(warc.archive(some))
+        assert data[:4] == b"\x5d\x2a\x4d\x18" and list(warc.read_archive(BytesIO(data))) == some
+
+
+def test_warc_rows_without_ids_refer_to_a_response(spark):
+    big, other = "z" * 2000, "w" * 2000
+    df = spark.createDataFrame([(None, None, big), (7, None, big), (None, None, other), (None, None, other), (3, None, big)], "page_id long, url string, html string")
+    rows = sorted((str(r.page_id), r.record_type, r.refers_to, r.payload_bytes) for r in warc.through_archives(df).collect())
+    assert rows == [("3", "revisit", 7, 2000), ("7", "response", None, 2000), ("None", "response", None, 2000), ("None", "response", None, 2000), ("None", "revisit", 7, 2000)]
 
 
 def test_repair(docs, empty):
