@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,8 +20,9 @@ SLICES = 1024
 
 
 def sized(df: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """(doc_id, source, size, key): rows without an id are told apart, and dealt, by their text."""
     words = F.regexp_count(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), F.lit(WORD)).cast("long")
-    return df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source"), words.alias("size"))
+    return df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source"), words.alias("size"), F.md5(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.concat(F.lit("none "), F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))).alias("key"))
 
 
 def targets(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
@@ -60,7 +63,7 @@ def position(cumulated: F.Column, target: F.Column, rank: F.Column, tilt: float
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, tilt: float = TILT) -> DataFrame:
     """Per row: doc_id, source, size, source_size, target, taken and passes, an array of (words, position).
 
-    Within a source rows follow the MD5 of their id. A source's target, rounded down, is filled by whole passes
+    Within a source rows follow the MD5 of their id, those without one that of their text. A source's target, rounded down, is filled by whole passes
     over its rows and a last pass that ends in the row where the target is met, of which the first words count.
     Each pass of a row starts at the training position where the source's cumulated demand reaches it.
     Null texts have size 0; a null source is a source; rows of size 0 are taken 0 words, in no pass. Repeated
@@ -68,8 +71,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     A source of a third of all rows is ordered in SLICES parts by hash, with sums of the parts before each.
     """
     rows = written(sized(df, id_col, text_col, source_col), "sizes")
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    rows = rows.withColumn("key", key).withColumn("slice", F.pmod(F.conv(F.substring("key", 1, 8), 16, 10).cast("long").bitwiseAND(F.lit(0xFFFFFFFF)) * F.lit(SLICES) / F.lit(2.0**32), F.lit(SLICES)).cast("int"))
+    rows = rows.withColumn("slice", F.pmod(F.conv(F.substring("key", 1, 8), 16, 10).cast("long").bitwiseAND(F.lit(0xFFFFFFFF)) * F.lit(SLICES) / F.lit(2.0**32), F.lit(SLICES)).cast("int"))
     per = targets(rows.select("source", "size"), weights)
     before = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     slices = rows.groupBy("source", "slice").agg(F.sum("size").alias("s")).withColumn("before", F.coalesce(F.sum("s").over(before), F.lit(0)))
@@ -108,7 +110,8 @@ def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     mixed = mix(df, id_col, text_col, source_col)
     half = F.filter("passes", lambda x: x.words * 2 >= F.col("size"))
     at = F.when(F.col("size") == 0, F.array(F.lit(0.0))).otherwise(F.transform(half, lambda x: x.position))
+    ref, places, place = (f"{x}_{uuid.uuid4().hex}" for x in ("ref", "places", "place"))
     # of rows with equal ids each gets the passes of one of them
-    times = mixed.groupBy(F.col("doc_id").alias("__id")).agg(F.max(at).alias("__at"))
-    joined = df.join(times, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")))
-    return joined.select(*[df[f"`{c}`"] for c in df.columns], F.explode("__at").alias("__position")).orderBy("__position").drop("__position")
+    times = mixed.groupBy(F.col("doc_id").alias(ref)).agg(F.max(at).alias(places))
+    joined = df.join(times, F.col(f"`{id_col}`").eqNullSafe(F.col(ref)))
+    return joined.select(*[df[f"`{c}`"] for c in df.columns], F.explode(places).alias(place)).orderBy(place).drop(place)

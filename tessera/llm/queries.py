@@ -105,7 +105,7 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN top IS NOT DISTINCT FRO
     "op8_mixing": """
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(COALESCE(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
-    md5(COALESCE(CAST(doc_id AS VARCHAR), '')) AS key FROM documents),
+    md5(COALESCE(CAST(doc_id AS VARCHAR), 'none ' || COALESCE(text, ''))) AS key FROM documents),
 s AS (SELECT source, CAST(SUM(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS rank FROM d GROUP BY source),
 w AS (SELECT *, CASE rank % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight,
   CAST(3 * source_size AS DOUBLE) AS cap, CAST(SUM(source_size) OVER () AS DOUBLE) AS total FROM s),

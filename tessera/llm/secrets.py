@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -128,19 +129,22 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col
 def redacted(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "source") -> DataFrame:
     """``df`` with every base span and live candidate overwritten by ``[secret]``; other texts stay as they are.
 
-    The spans found are joined to the rows by the id and the text's hash, rows without spans pass by the join.
+    The spans found are joined to the rows by the id and the text's hash, rows without spans pass by the join. Columns
+    of any name pass through; null texts, repeated rows and rows without id stay.
     """
-    keyed = df.withColumn("__h", F.xxhash64(text_col))
-    found = scan(keyed.withColumn("__key", F.struct(id_col, "__h")), "__key", text_col, repo_col).where(F.size("details") > 0)
-    found = found.select(F.col(f"__key.{id_col}").alias("__id"), F.col("__key.__h").alias("__fh"), F.transform("details", lambda s: F.struct(s.start.alias("start"), s.end.alias("end"))).alias("__spans")).dropDuplicates(["__id", "__fh"])
-    joined = keyed.join(found, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__fh")), "left")
+    key, ref, spans = (f"{x}_{uuid.uuid4().hex}" for x in ("key", "ref", "spans"))
+    keyed = df.withColumn(key, F.struct(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("h")))
+    found = scan(keyed, key, text_col, repo_col).where(F.size("details") > 0)
+    found = found.select(F.col(key).alias(ref), F.transform("details", lambda s: F.struct(s.start.alias("start"), s.end.alias("end"))).alias(spans)).dropDuplicates([ref])
+    same = F.col(f"{key}.id").eqNullSafe(F.col(f"{ref}.id")) & (F.col(f"{key}.h") == F.col(f"{ref}.h"))
+    joined, text = keyed.join(found, same, "left"), F.col(f"`{text_col}`")
     cut = F.aggregate(
-        "__spans",
+        spans,
         F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
         lambda acc, s: F.struct(
-            F.when(s.end <= acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.substring(F.col(text_col), acc["at"] + 1, F.greatest(F.lit(0), s.start - acc["at"])), F.when(s.start >= acc["at"], F.lit("[secret]")).otherwise(F.lit("")))).alias("out"),
+            F.when(s.end <= acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.greatest(F.lit(0), s.start - acc["at"])), F.when(s.start >= acc["at"], F.lit("[secret]")).otherwise(F.lit("")))).alias("out"),
             F.greatest(acc["at"], s.end).alias("at"),
         ),
-        lambda acc: F.concat(acc["out"], F.substring(F.col(text_col), acc["at"] + 1, F.lit(2**31 - 1))),
+        lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.lit(2**31 - 1))),
     )
-    return joined.select(*[F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(cut).alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns])
+    return joined.select(*[F.when(F.col(spans).isNull(), text).otherwise(cut).alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns])

@@ -14,6 +14,7 @@ segments need be equal. Its pairs come from the texts' rarest shingles, without
 from __future__ import annotations
 
 import gc
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -55,7 +56,7 @@ def fingerprint(text: str | None, words: int = 4, chunk: int = 65536) -> int:
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
-    """(id, fp long) of every row; null texts count as empty."""
+    """(id, fp long) of every row, repeated ones too; null texts count as empty, ids that are null stay null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
@@ -356,16 +357,30 @@ def like_classes(df: DataFrame, id_col: str, text_col: str, words: int) -> DataF
     return named.join(found.withColumnRenamed("id", "of"), F.col("rid") == F.col("of"), "left").select("id", F.coalesce("component", "rid").alias("component"))
 
 
+def keyed(df: DataFrame, id_col: str, text_col: str, key: str) -> DataFrame:
+    """``df`` with a long that names each row's text: the id, or, where rows of one id have several texts, a hash of the text.
+
+    Such hashes are above 2^62, so that the least of a group is an id if there is one.
+    """
+    h = f"h_{uuid.uuid4().hex}"
+    ids = F.col(f"`{id_col}`").cast("long")
+    hashed = df.select(ids.alias("id"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("h")).where("id is not null")
+    several = written(hashed.groupBy("id").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select(F.col("id").alias(h)), "several")
+    if several.isEmpty():
+        return df.withColumn(key, ids)
+    own = F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), ids).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    return df.join(several, ids == F.col(h), "left").withColumn(key, F.when(F.col(h).isNull(), ids).otherwise(own)).drop(h)
+
+
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
     """Rows of ``df`` without all but one of each group of near copies: the row with the least id stays.
 
-    Near copies are texts whose sets of word shingles have likeness 0.8 or more, found and compared exactly. Of
-    repeated rows with that id one stays; rows with a null id stay.
+    Near copies are texts whose sets of word shingles have likeness 0.8 or more, found and compared exactly. Rows of
+    one id with different texts are texts of their own. Of repeated rows one stays; rows with a null id stay.
     """
-    import uuid
-
-    mine = "k" + uuid.uuid4().hex
-    ids = like_classes(df, id_col, text_col, words).where("id = component").select(F.col("id").alias(mine)).distinct()
-    named = df.where(F.col(f"`{id_col}`").isNotNull()).dropDuplicates([id_col])
-    kept = named.join(ids, F.col(f"`{id_col}`") == F.col(mine)).drop(mine)
+    mine, key = f"mine_{uuid.uuid4().hex}", f"key_{uuid.uuid4().hex}"
+    every = keyed(df, id_col, text_col, key)
+    ids = like_classes(every, key, text_col, words).where("id = component").select(F.col("id").alias(mine)).distinct()
+    named = every.where(F.col(key).isNotNull()).dropDuplicates([key])
+    kept = named.join(ids, F.col(key) == F.col(mine)).select(*[F.col(f"`{c}`") for c in df.columns])
     return kept.unionByName(df.where(F.col(f"`{id_col}`").isNull()))

@@ -181,7 +181,8 @@ def logistic_fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def train(samples: list[tuple[str, int]]) -> Model:
-    """Learn from (text, toxic)."""
+    """Learn from (text, toxic); repeated texts count as often as they occur, empty ones have no words. Without texts of
+    both labels every text gets the same low score."""
     flat = Model(np.zeros(WIDTH, np.float32), -1.0, np.array([0, 0, 0, 0, 0, -5.0]))
     if len({y for _, y in samples}) < 2:
         return flat

@@ -505,6 +505,38 @@ def test_keep_one_finds_all_likeness_of_0_8(spark, monkeypatch):
     assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == sorted({find(i) for i in range(len(texts))})
 
 
+CLASH = "doc_id long, text string, source string, __h string, __id string, __at string, __position string, __spans string, __key string, h string, id string, key string, n string, row string, fp string"
+
+
+def clashing(rows):
+    return [(*r, *[f"c{j}" for j in range(12)]) for r in rows]
+
+
+def test_columns_of_any_name_pass_through(spark):
+    live = "aB3dE6gH9jK2mN5pQ8sT1v"
+    rows = clashing([(1, f"x {live} y", "a"), (2, "plain words here", "b"), (None, "no id", "a"), (2, "plain words here", "b"), (3, None, None)])
+    df = spark.createDataFrame(rows, CLASH)
+    out = secrets.redacted(df)
+    assert out.columns == df.columns and sorted(map(str, out.collect())) == sorted(str(r).replace(live, "[secret]") for r in df.collect())
+    for made in (mixing.mixed_documents(df), simhash.keep_one(df), bpe.with_tokens(df, PATH)):
+        assert made.columns[: len(df.columns)] == df.columns and {tuple(r)[3:15] for r in made.collect()} == {tuple(f"c{j}" for j in range(12))}
+
+
+def test_keep_one_keeps_different_texts_of_one_id(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, "one text of its own"), (1, "quite another text here"), (1, "one text of its own"), (2, long), (3, long), (3, long + " z"), (4, "one text of its own"), (None, long), (None, long)]
+    got = [tuple(r) for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got, key=str) == sorted([(1, "quite another text here"), (2, long), (4, "one text of its own"), (None, long), (None, long)], key=str)
+
+
+def test_mixing_deals_rows_without_ids_by_their_text(spark):
+    rows = [(None, f"word {i} " * (i % 5), "a") for i in range(300)] + [(i, "x y z", "b") for i in range(30)]
+    mixed = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert mixed.count() == 330
+    per = {r.source: r for r in mixed.groupBy("source").agg({"taken": "sum", "target": "max"}).collect()}
+    assert all(r["max(target)"] - 1 <= r["sum(taken)"] <= r["max(target)"] for r in per.values())
+
+
 def test_repair_ends_when_no_pair_is_frequent(monkeypatch):
     """Long passages repeated in documents become few symbols, and no frequent pair is left in any document."""
     rng = np.random.default_rng(14)
