@@ -7,6 +7,7 @@ import heapq
 import json
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,6 +18,8 @@ from tessera.llm.common import Cache, held, sliced
 
 #: Entries of the two halves of a worker's word cache; it bounds memory, never the result.
 CACHED_WORDS = 200_000
+#: Printable ASCII, Latin, Greek and Cyrillic letters and signs, dashes and quotation marks: none is a combining mark.
+ALPHABET = (range(0x21, 0x7F), range(0xA1, 0x250), range(0x370, 0x483), range(0x48A, 0x530), range(0x2010, 0x2028), range(0x2030, 0x205F))
 
 
 def byte_letters() -> list[str]:
@@ -70,7 +73,7 @@ class WordBpe:
     """A tokenizer file of kind "BPE with word ends": NFC, white space runs to one space, lower case, then
     pieces by pattern, bytes as letters, merges. Special tokens' strings in a text become their ids.
 
-    Merging and decoding are this class's own. The library only normalises and cuts what isn't printable ASCII."""
+    Merging and decoding are this class's own. The library only normalises and cuts what has characters beyond ALPHABET."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -82,14 +85,12 @@ class WordBpe:
         self.special = special
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         (pattern,) = (x["pattern"]["Regex"] for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
-        # printable ASCII has 52 letters and 10 digits; all else is normalised and cut by the library itself, whose
-        # character classes are of another version of Unicode than Python's
-        narrow = pattern.replace(r"\p{L}", "A-Za-z").replace(r"\p{N}", "0-9")
-        self.ascii_pattern = None if r"\p" in narrow else re.compile(narrow, re.ASCII)
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
         letters = byte_letters()
+        self.letters = dict(enumerate(letters))
+        self.known, self.pattern = self.alphabet(pattern)
         self.first = {c: vocab.get(c, -1) for c in letters}
         self.last = {c: vocab.get(c + self.end, -1) for c in letters}
         self.ranks = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(map(tuple, spec["model"]["merges"]))}
@@ -103,11 +104,24 @@ class WordBpe:
         symbols = [*map(self.first.__getitem__, piece[:-1]), self.last[piece[-1]]]
         return tuple(merge([x for x in symbols if x >= 0], self.ranks))
 
+    def alphabet(self, pattern: str) -> tuple[frozenset[str], re.Pattern]:
+        """Characters whose class and lower case the library is asked for once, and the pattern with them as classes.
+
+        Of ALPHABET, which has no characters that compose with others, those that the library keeps but for the lower
+        case that Python has too. Python's own tables of classes aren't used: they are of another version of Unicode.
+        """
+        normal, pieces = self.library.normalizer.normalize_str, lambda text: len(self.library.pre_tokenizer.pre_tokenize_str(text))
+        known = [c for c in map(chr, chain(*ALPHABET)) if len(c.lower()) == 1 and normal(c) == c.lower() and c != "Σ" and pieces(c)]
+        low = sorted({c.lower() for c in known})
+        inner = "".join(re.escape(c) for c in low if pieces(f"a{c}a") == 1)
+        single = "".join(re.escape(c) for c in low if pieces(f"a{c}{c}a") == 4)
+        return frozenset(known), re.compile(pattern.replace(r"[\p{L}]", f"[{inner}]").replace(r"[\p{N}]", f"[{single}]").replace(r"\p{L}", inner).replace(r"\p{N}", single), re.ASCII)
+
     def cut_up(self, text: str) -> list[str]:
         """Normalised pieces of a stretch without special tokens, as the letters of their bytes."""
-        # printable ASCII stands for itself
-        if self.ascii_pattern is not None and text.isascii() and text.isprintable():
-            return self.ascii_pattern.findall(text.lower())
+        if self.known.issuperset(text):
+            # printable ASCII stands for itself
+            return [p if p.isascii() else p.encode().decode("latin-1").translate(self.letters) for p in self.pattern.findall(text.lower())]
         return [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))]
 
     def plain(self, text: str) -> list[int]:

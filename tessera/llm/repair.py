@@ -46,7 +46,7 @@ class LibraryIds(WordBpe):
     """Ids by the tokenizers library, as little-endian uint32 in bytes, kept by word and piece.
 
     Stretches between spaces are independent, so a stretch not met yet is encoded by the library alone and kept.
-    Those of printable ASCII are cut into pieces first, and only pieces not met yet go to the library's model.
+    Those of known characters are cut into pieces first, and only pieces not met yet go to the library's model.
     """
 
     def __init__(self, path: str):
@@ -59,7 +59,7 @@ class LibraryIds(WordBpe):
         return array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
 
     def word_bytes(self, word: str) -> bytes:
-        if "<" in word or self.ascii_pattern is None or not (word.isascii() and word.isprintable()):
+        if "<" in word or not self.known.issuperset(word):
             return array("I", self.library.encode(word, add_special_tokens=False).ids).tobytes()
         cut = self.cut_up(word)
         return self.pieces[cut[0]] if len(cut) == 1 else b"".join([self.pieces[p] for p in cut])
