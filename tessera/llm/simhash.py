@@ -33,6 +33,8 @@ PAIRS = ((2, 4), (2, 3), (1, 4), (1, 3), (1, 2))
 BLOCK = 2048
 #: Near copies to keep one of: likeness of at least 4 / 5. Common shingles that are listed to be put last.
 LIKE, HOT_LISTED = (4, 5), 200_000
+#: Ids that are broadcast at most, some tens of megabytes.
+BROADCAST_IDS = 2_000_000
 UPPER_TO_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -300,9 +302,10 @@ def alike(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
 
     num, den = LIKE
     pairs = kept(pairs.distinct(), "pairs")
-    # written, so that the planner knows their size and needn't shuffle the texts
+    # ids are written and counted: up to BROADCAST_IDS go to the texts, beyond that both are shuffled
     ids = kept(pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct(), "ids")
-    sets = kept(texts.join(ids, "id", "left_semi").mapInArrow(run, "id long, n long, low array<short>, own array<long>"), "sets")
+    few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    sets = kept(texts.join(few, "id", "left_semi").mapInArrow(run, "id long, n long, low array<short>, own array<long>"), "sets")
     most = F.size(F.array_intersect("u_low", "v_low")) + F.least(F.col("u_n") - F.size("u_low"), F.col("v_n") - F.size("v_low"))
     close = kept(beside(pairs, "n", "low").where(most * (num + den) >= (F.col("u_n") + F.col("v_n")) * num).select("u", "v"), "close")
     common = F.size(F.array_intersect("u_own", "v_own"))
