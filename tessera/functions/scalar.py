@@ -17,6 +17,8 @@ BOOL, INT8, FLOAT8, NUMERIC, TEXT, NULL = map(Type, ("bool", "int8", "float8", "
 #: No character of a pattern escapes; this one can't occur in text that is typed.
 NO_ESCAPE = "\u0001"
 WHOLE = "decimal(19,0)"
+#: NUMERIC with a digit less before the point, so that a sum of two keeps all places.
+STEP = "decimal(37,18)"
 
 
 @dataclass(frozen=True)
@@ -170,6 +172,37 @@ def logic(op: str, a: Expr, b: Expr) -> Expr:
     return Expr(x & y if op == "AND" else x | y, BOOL)
 
 
+def exact(op: str, x: Column, y: Column) -> Column:
+    """Decimals of 18 places: sums, differences and remainders exact, products and quotients rounded in the last place.
+
+    Spark keeps 6 places of a product or quotient of such decimals, so both are made of steps whose results fit.
+    Quotients by 10^9 or more keep Spark's places.
+    """
+    x, y = x.cast(STEP), y.cast(STEP)
+    if op in "+-%":
+        return {"+": lambda: x + y, "-": lambda: x - y, "%": lambda: x % y}[op]()
+    whole = lambda p, q: F.call_function("div", p, q)
+    add = lambda *terms: reduce(lambda p, q: (p + q).cast(STEP), (t.cast(STEP) for t in terms))
+    if op == "*":
+        fraction = lambda v: (v % F.lit(Decimal(1))).cast("decimal(18,18)")
+        ten = F.lit(Decimal(10**10))
+
+        def cross(w: Column, f: Column) -> Column:
+            # the upper digits of w times f, of which ten places are gone, and the lower ones
+            return add(whole(w, ten).cast("decimal(9,0)") * (f * ten).cast("decimal(18,8)"), (w % ten).cast("decimal(10,0)") * f)
+
+        b, d = fraction(x), fraction(y)
+        a, c = (x - b).cast(WHOLE), (y - d).cast(WHOLE)
+        return add(a * c, cross(a, d), cross(c, b), b * d)
+    nine, low = F.lit(Decimal(10**9)), "decimal(27,18)"
+    first = (x % y).cast(low) * nine
+    second = (first % y).cast(low) * nine
+    sign = F.when((x < 0) == (y < 0), 1).otherwise(-1)
+    last = whole(second, y) + F.when(F.abs(second % y).cast(low) * 2 >= F.abs(y), sign).otherwise(0)
+    made = add(whole(x, y).cast(WHOLE), whole(first, y).cast("decimal(10,0)") * F.lit(Decimal("0.000000001")), last.cast("decimal(10,0)") * F.lit(Decimal("0.000000000000000001")))
+    return F.when(F.abs(y) < nine, made).otherwise((x / y).cast(STEP))
+
+
 def arithmetic(op: str, a: Expr, b: Expr) -> Expr:
     kinds = {t.kind for t in (a.type, b.type) if t != NULL}
     if any(k not in NUMBERS for k in kinds):
@@ -182,13 +215,13 @@ def arithmetic(op: str, a: Expr, b: Expr) -> Expr:
         t, x, y = FLOAT8, to(a, FLOAT8), to(b, FLOAT8)
     elif "numeric" in kinds:
         t = NUMERIC
-        x, y = (e.col.cast(WHOLE) if e.type.kind in INTS else to(e, NUMERIC) for e in (a, b))
+        return Expr(exact(op, *(e.col.cast(WHOLE) if e.type.kind in INTS else to(e, NUMERIC) for e in (a, b))).cast(NUMERIC.spark()), NUMERIC)
     else:
         t, x, y = INT8, to(a, INT8), to(b, INT8)
         if op == "/":
             return Expr(F.call_function("div", x, y), INT8)
     made = {"+": lambda: x + y, "-": lambda: x - y, "*": lambda: x * y, "/": lambda: x / y, "%": lambda: x % y}[op]()
-    return Expr(made.cast(NUMERIC.spark()) if t == NUMERIC else made, t)
+    return Expr(made, t)
 
 
 def negate(e: Expr) -> Expr:
@@ -311,6 +344,11 @@ def checked(e: Column, made: Column, what: str) -> Column:
     return F.when(e.isNull() | made.isNotNull(), made).otherwise(fail(e.cast("string"), what).cast("void"))
 
 
+def strip(c: Column) -> Column:
+    """Text without white space at its ends, of any kind."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
 def cast(e: Expr, t: Type) -> Expr:
     k, s, c = t.kind, e.type.kind, e.col
     no = TypeMismatch(f"CAST of {e.type} as {t}")
@@ -329,7 +367,7 @@ def cast(e: Expr, t: Type) -> Expr:
             return Expr(c != 0, t)
         if s != "text":
             raise no
-        w = F.lower(F.trim(c))
+        w = F.lower(strip(c))
         return Expr(F.when(w.isin("true", "t", "yes", "y", "on", "1"), True).when(w.isin("false", "f", "no", "n", "off", "0"), False).when(c.isNotNull(), fail(c, "a boolean").cast("boolean")), t)
     if k in INTS:
         if s in INTS or s == "bool":
@@ -340,35 +378,35 @@ def cast(e: Expr, t: Type) -> Expr:
             return Expr(F.bround(c, 0).cast(t.spark()), t)
         if s != "text":
             raise no
-        return Expr(checked(c, F.when(F.trim(c).rlike(r"^[+-]?[0-9]+$"), F.trim(c).try_cast(t.spark())), "an integer"), t)
+        return Expr(checked(c, F.when(strip(c).rlike(r"^[+-]?[0-9]+$"), strip(c).try_cast(t.spark())), "an integer"), t)
     if k in FLOATS or k == "numeric":
         if s in NUMBERS:
             return Expr(c.cast(t.spark()), t)
         if s != "text":
             raise no
-        return Expr(checked(c, F.trim(c).try_cast(t.spark()), "a number"), t)
+        return Expr(checked(c, strip(c).try_cast(t.spark()), "a number"), t)
     if k == "bytea" and s == "text":
         return Expr(F.encode(c, "UTF-8"), t)
     if k == "date":
         if s == "timestamptz":
             return Expr(F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.unix_micros(c) / M.DAY).cast("int")), t)
         if s in ("timestamp", "text"):
-            return Expr(c.cast("date") if s == "timestamp" else checked(c, F.when(F.trim(c).rlike(r"^\d{4}-\d\d-\d\d$"), F.trim(c).try_cast("date")), "a date"), t)
+            return Expr(c.cast("date") if s == "timestamp" else checked(c, F.when(strip(c).rlike(r"^\d{4}-\d\d-\d\d$"), strip(c).try_cast("date")), "a date"), t)
     if k == "timestamptz":
         if s == "date":
             return Expr(F.timestamp_micros(F.unix_date(c).cast("long") * M.DAY), t)
         if s in ("text", "timestamp"):
-            w = F.trim(c.cast("string"))
+            w = strip(c.cast("string"))
             zoned = F.when(w.rlike(r"([+-]\d\d(:?\d\d)?|[zZ])$") & w.contains(":"), w).when(w.contains(":"), F.concat(w, F.lit("+00:00"))).otherwise(F.concat(w, F.lit(" 00:00:00+00:00")))
             return Expr(checked(c, zoned.try_cast("timestamp"), "a timestamp"), t)
     if k == "time" and s == "text":
-        w = F.trim(c)
+        w = strip(c)
         p = F.split(F.regexp_replace(w, r"\..*$", ""), ":")
         part = lambda i: F.coalesce(F.try_element_at(p, F.lit(i)).try_cast("long"), F.lit(0))
         fraction = F.rpad(F.coalesce(F.regexp_extract(w, r"\.(\d{1,6})$", 1), F.lit("")), 6, "0").try_cast("long")
         return Expr(checked(c, F.when(w.rlike(r"^([01]?\d|2[0-3]):[0-5]\d(:[0-5]\d(\.\d{1,6})?)?$"), (part(1) * 3600 + part(2) * 60 + part(3)) * 1_000_000 + fraction), "a time"), t)
     if k == "uuid" and s == "text":
-        w = F.lower(F.regexp_replace(F.trim(c), r"[-{}]", ""))
+        w = F.lower(F.regexp_replace(strip(c), r"[-{}]", ""))
         parts = [F.substring(w, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
         return Expr(checked(c, F.when(w.rlike(r"^[0-9a-f]{32}$"), F.concat_ws("-", *parts)), "a uuid"), t)
     if k == "json" and s == "text":

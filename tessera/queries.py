@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -80,6 +81,8 @@ q("arith_widen", "SELECT n_nationkey, n_nationkey + n_regionkey AS s, n_nationke
 q("arith_float", "SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice * (1 - l_discount) * (1 + l_tax) AS charge FROM lineitem")
 q("arith_decimal", "SELECT s_suppkey, CAST(CAST(s_suppkey AS NUMERIC) + NUMERIC '0.10' AS TEXT) AS t FROM supplier", "SELECT s_suppkey, CAST(s_suppkey AS VARCHAR) || '.1' AS t FROM supplier")
 q("arith_negate", "SELECT s_suppkey, -s_acctbal AS neg, -s_suppkey AS k FROM supplier")
+q("arith_decimal_product", "SELECT p_partkey, CAST(NUMERIC '0.0000001' * CAST(p_partkey AS NUMERIC) * NUMERIC '1.5' AS TEXT) AS t, NUMERIC '12345678901.5' * NUMERIC '-3.25' = NUMERIC '-40123456429.875' AS big FROM part", "SELECT p_partkey, rtrim(rtrim(CAST(CAST(p_partkey AS DECIMAL(18,0)) * 0.00000015 AS VARCHAR), '0'), '.') AS t, TRUE AS big FROM part")
+q("arith_decimal_quotient", "SELECT r_regionkey, CAST(NUMERIC '1' / NUMERIC '3' AS TEXT) AS a, CAST(NUMERIC '-2' / NUMERIC '3' AS TEXT) AS b, CAST(NUMERIC '7.5' / NUMERIC '0.0025' AS TEXT) AS c, CAST(NUMERIC '7.5' % NUMERIC '2' AS TEXT) AS d FROM region", "SELECT r_regionkey, '0.333333333333333333' AS a, '-0.666666666666666667' AS b, '3000' AS c, '1.5' AS d FROM region")
 # functions
 q("fn_abs", "SELECT c_custkey, ABS(c_acctbal) AS a, ABS(c_nationkey - 10) AS b FROM customer", "SELECT c_custkey, ABS(c_acctbal) AS a, CAST(ABS(c_nationkey - 10) AS BIGINT) AS b FROM customer")
 q("fn_round", "SELECT p_partkey, ROUND(p_retailprice) AS r, ROUND(p_size) AS s FROM part", "SELECT p_partkey, round(p_retailprice) AS r, p_size AS s FROM part")
@@ -98,6 +101,8 @@ q("case_searched", "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_quan
 q("case_simple", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 END AS s FROM orders", "SELECT o_orderkey, CAST(CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 END AS BIGINT) AS s FROM orders")
 # casts
 q("cast_text_int", "SELECT n_nationkey, CAST('  42 ' AS INT) + n_nationkey AS v, CAST(CAST(n_nationkey AS TEXT) AS SMALLINT) AS s FROM nation", "SELECT n_nationkey, CAST(42 AS BIGINT) + n_nationkey AS v, CAST(n_nationkey AS SMALLINT) AS s FROM nation")
+q("cast_text_any_space", "SELECT n_nationkey, CAST('\t42\n' AS INT) AS i, CAST('\n 2.5\t' AS DOUBLE) AS d, CAST('\ttrue ' AS BOOL) AS b, CAST('\t2024-02-29\n' AS DATE) AS day FROM nation", "SELECT n_nationkey, 42 AS i, CAST(2.5 AS DOUBLE) AS d, TRUE AS b, DATE '2024-02-29' AS day FROM nation")
+q("cast_text_float", "SELECT n_nationkey, CAST(n_nationkey || '.25' AS DOUBLE) AS d, CAST(n_nationkey || '.5' AS REAL) AS r, CAST('1e3' AS DOUBLE) AS e FROM nation", "SELECT n_nationkey, n_nationkey + CAST(0.25 AS DOUBLE) AS d, CAST(n_nationkey + 0.5 AS FLOAT) AS r, CAST(1000 AS DOUBLE) AS e FROM nation")
 q("cast_float_int_round", "SELECT c_custkey, c_acctbal::INT AS i, CAST(c_acctbal AS BIGINT) AS b FROM customer", "SELECT c_custkey, CAST(round(c_acctbal) AS INTEGER) AS i, CAST(round(c_acctbal) AS BIGINT) AS b FROM customer")
 q("cast_bool_text", "SELECT c_custkey, (c_acctbal > 0.0)::TEXT AS t, CAST('Yes' AS BOOLEAN) AS y, CAST(' off ' AS BOOL) AS n, c_nationkey::BOOL AS k FROM customer", "SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN 't' ELSE 'f' END AS t, TRUE AS y, FALSE AS n, c_nationkey <> 0 AS k FROM customer")
 q("cast_float_text", "SELECT l_orderkey, l_linenumber, l_partkey, l_quantity::TEXT AS t FROM lineitem", "SELECT l_orderkey, l_linenumber, l_partkey, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS t FROM lineitem")
@@ -132,9 +137,11 @@ def runner(ours: str, strategy: str) -> Callable[[SparkSession, str], DataFrame]
 
 def new_engine(spark: SparkSession) -> Engine:
     """An engine whose catalog lies in the shared folder that the session names."""
-    import uuid
-
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="tessera-")
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = "file://" + tempfile.mkdtemp(prefix="tessera-")
     return Engine(spark, f"{named.rstrip('/')}/tessera-catalog-{uuid.uuid4().hex}")
 
 
@@ -156,11 +163,23 @@ def deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.sql("SELECT * FROM t")
 
 
+def point_in_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table as it was after its first statement."""
+    engine = new_engine(spark)
+    engine.sql("CREATE TABLE t (k INT, v TEXT)")
+    engine.sql("INSERT INTO t VALUES (1, 'a'), (2, 'b')")
+    engine.sql("INSERT INTO t VALUES (1, 'c'), (3, 'd')")
+    return engine.catalog.read(engine.catalog.get_table(["t"]), upto=2 * (1 << 32) - 1)
+
+
 #: Statements on a catalog of their own, and DuckDB's rows for the result.
 SCRIPTS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "upsert_roundtrip": (script("CREATE TABLE t (k INT, v TEXT)", "INSERT INTO t VALUES (1, 'a'), (2, 'b'), (1, 'c')", "INSERT INTO t VALUES (2, 'd'), (3, 'e')", "SELECT * FROM t"), "SELECT * FROM (VALUES (1, 'c'), (2, 'd'), (3, 'e')) t(k, v)"),
     "default_fill": (script("CREATE TABLE t (id INT, status TEXT DEFAULT UPPER('hi'), qty INT DEFAULT '42'::INT, note TEXT)", "INSERT INTO t (note, id) VALUES ('n', 1)", "INSERT INTO t VALUES (2), (3, 'x', 7)", "SELECT * FROM t"), "SELECT * FROM (VALUES (1, 'HI', 42, 'n'), (2, 'HI', 42, NULL), (3, 'x', 7, NULL)) t(id, status, qty, note)"),
     "create_or_replace": (script("CREATE TABLE t (id INT, name TEXT)", "INSERT INTO t VALUES (1, 'a')", "CREATE OR REPLACE TABLE t (id BIGINT, label TEXT)", "INSERT INTO t VALUES (10, 'fresh')", "SELECT * FROM t"), "SELECT CAST(10 AS BIGINT) AS id, 'fresh' AS label"),
+    "catalog_key_range": (script("CREATE TABLE t (k INT, v TEXT)", "INSERT INTO t VALUES (1, 'a'), (2, 'b'), (3, 'c'), (4, 'd')", "INSERT INTO t VALUES (3, 'e'), (9, 'f')", "SELECT * FROM t WHERE k BETWEEN 2 AND 4"), "SELECT * FROM (VALUES (2, 'b'), (3, 'e'), (4, 'd')) t(k, v)"),
+    "catalog_point_get": (script("CREATE TABLE t (k BIGINT, v TEXT)", "INSERT INTO t VALUES (1, 'a'), (2, 'b')", "INSERT INTO t VALUES (2, 'c')", "SELECT v FROM t WHERE k = 2"), "SELECT 'c' AS v"),
+    "point_in_time_scan": (point_in_time, "SELECT * FROM (VALUES (1, 'a'), (2, 'b')) t(k, v)"),
     "delete_by_key": (deleted, "SELECT * FROM (VALUES (1, 'a'), (3, 'c')) t(k, v)"),
     "syscat_columns": (script("CREATE SCHEMA s", "CREATE TABLE s.w (id INT, name TEXT NOT NULL, price NUMERIC, tags INT[])", "SELECT column_name, ordinal_position, is_nullable, udt_name FROM information_schema.columns WHERE table_schema = 's'"), "SELECT * FROM (VALUES ('id', 1, 'YES', 'int4'), ('name', 2, 'NO', 'text'), ('price', 3, 'YES', 'numeric'), ('tags', 4, 'YES', 'array')) t(column_name, ordinal_position, is_nullable, udt_name)"),
 }
