@@ -276,11 +276,18 @@ def open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from pairs(kept)
 
 
+def collected(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of DataFrames that nothing holds any more."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def alike(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     """The pairs (u, v) of ids of ``texts(id, text)`` whose sets of shingles have Jaccard likeness 0.8 or more, exactly.
 
     First 16 bits of each hash are met: what they have in common, and what either set loses by them, bounds from above
-    what the sets share. The pairs that pass are compared by whole hashes. What was written between is removed.
+    what the sets share. Whole hashes are made of texts of pairs that pass, and compared. What was written between is
+    removed, a step's before the next one's is written.
     """
     spark, folder = pairs.sparkSession, new_folder(pairs.sparkSession, "alike")
 
@@ -288,38 +295,41 @@ def alike(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
         df.write.parquet(f"{folder}/{name}")
         return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def met(pairs: DataFrame, name: str, run, kind: str) -> DataFrame:
+        """The pairs with both texts' sets as ``run`` makes them, (n, own) of each end."""
+        # ids are written and counted: up to BROADCAST_IDS go to the texts, beyond that both are shuffled
+        ids = kept(pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct(), f"{name}-ids")
+        few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+        sets = kept(texts.join(few, "id", "left_semi").mapInArrow(run, f"id long, n long, own array<{kind}>"), name)
+        for end in ("u", "v"):
+            pairs = pairs.join(sets.select(F.col("id").alias(end), F.col("n").alias(f"{end}_n"), F.col("own").alias(f"{end}_own")), end)
+        return pairs.withColumn("common", F.size(F.array_intersect("u_own", "v_own")))
+
+    def low(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 200):
             sets = [shingle_set(t, words) for t in batch.column(1).to_pylist()]
-            low = [np.unique((s & np.uint64(0xFFFF)).astype(np.uint16).view(np.int16)) for s in sets]
-            own = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(low, pa.list_(pa.int16())), own], ["id", "n", "low", "own"])
+            own = pa.array([np.unique((s & np.uint64(0xFFFF)).astype(np.uint16).view(np.int16)) for s in sets], pa.list_(pa.int16()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), own], ["id", "n", "own"])
 
-    def beside(df: DataFrame, *columns: str) -> DataFrame:
-        for end in ("u", "v"):
-            df = df.join(sets.select(F.col("id").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in columns]), end)
-        return df
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 200):
+            sets = [shingle_set(t, words) for t in batch.column(1).to_pylist()]
+            own = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), own], ["id", "n", "own"])
 
     num, den = LIKE
     pairs = kept(pairs.distinct(), "pairs")
-    # ids are written and counted: up to BROADCAST_IDS go to the texts, beyond that both are shuffled
-    ids = kept(pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct(), "ids")
-    few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    sets = kept(texts.join(few, "id", "left_semi").mapInArrow(run, "id long, n long, low array<short>, own array<long>"), "sets")
-    most = F.size(F.array_intersect("u_low", "v_low")) + F.least(F.col("u_n") - F.size("u_low"), F.col("v_n") - F.size("v_low"))
-    close = kept(beside(pairs, "n", "low").where(most * (num + den) >= (F.col("u_n") + F.col("v_n")) * num).select("u", "v"), "close")
-    common = F.size(F.array_intersect("u_own", "v_own"))
-    out = written(beside(close, "own").where(common * (num + den) >= (F.size("u_own") + F.size("v_own")) * num).select("u", "v"), "alike")
+    most = F.col("common") + F.least(F.col("u_n") - F.size("u_own"), F.col("v_n") - F.size("v_own"))
+    enough = (F.col("u_n") + F.col("v_n")) * num
+    close = kept(met(pairs, "low", low, "short").where(most * (num + den) >= enough).select("u", "v"), "close")
+    for name in ("low", "low-ids", "pairs"):
+        remove(spark, f"{folder}/{name}")
+    collected(spark)
+    out = written(met(close, "whole", whole, "long").where(F.col("common") * (num + den) >= enough).select("u", "v"), "alike")
     remove(spark, folder)
     return out
 
 
-def collected(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of DataFrames that nothing holds any more."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def like_classes(df: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
     """(id, component) of rows with an id: the least id of what pairs of likeness 0.8 or more reach.
 
@@ -336,18 +346,24 @@ def like_classes(df: DataFrame, id_col: str, text_col: str, words: int) -> DataF
             keys = [prefix(s, hot, counts).view(np.int64) for s in sets]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["id", "digest", "n", "keys"])
 
-    own = written(texts.mapInArrow(run, "id long, digest binary, n long, keys array<long>"), "shingles")
+    spark, folder = df.sparkSession, new_folder(df.sparkSession, "shingles")
+    own = texts.mapInArrow(run, "id long, digest binary, n long, keys array<long>")
+    own.write.parquet(folder)
+    own = spark.read.schema(own.schema).parquet(folder)
     of = written(own.groupBy("digest").agg(F.min("id").alias("rid")), "reps")
     # a class's keys are those of its representative; a repeated id's further rows with the set repeat them
     reps = own.join(of, "digest").where("id = rid").select(F.explode("keys").alias("key"), "rid", "n")
     shared = reps.repartition("key").sortWithinPartitions("key", "rid").mapInArrow(shared_keys, "key long, rid long, n long, size long, first long, first_n long")
     shared = written(shared, "shared")
-    del reps
-    collected(df.sparkSession)
+    # of the sets only each id's representative is needed from here on
+    named = written(own.select("id", "digest").join(of, "digest").select("id", "rid"), "named")
+    del reps, own
+    remove(spark, folder)
+    collected(spark)
     num, den = LIKE
     near = F.least("n", "first_n") * den >= F.greatest("n", "first_n") * num
     known = alike(shared.where((F.col("rid") != F.col("first")) & near).select(F.col("first").alias("u"), F.col("rid").alias("v")), texts, words)
-    collected(df.sparkSession)
+    collected(spark)
     part = components(known)
     rest = shared.join(part, shared.rid == part.id, "left").withColumn("component", F.coalesce("component", "rid")).drop("id")
     several = rest.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c <> d").select("key")
@@ -355,8 +371,7 @@ def like_classes(df: DataFrame, id_col: str, text_col: str, words: int) -> DataF
     dealt = dealt.select("key", "bi", "bj", "blk", "rid", "n", "component", "first").repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
     found = components(known.union(alike(dealt.mapInArrow(open_pairs, "u long, v long"), texts, words)))
     del dealt, several, rest, part
-    collected(df.sparkSession)
-    named = own.select("id", "digest").join(of, "digest").select("id", "rid")
+    collected(spark)
     return named.join(found.withColumnRenamed("id", "of"), F.col("rid") == F.col("of"), "left").select("id", F.coalesce("component", "rid").alias("component"))
 
 
