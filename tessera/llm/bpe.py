@@ -21,6 +21,9 @@ CACHED_WORDS = 200_000
 #: Printable ASCII, Latin, Greek and Cyrillic letters and signs, dashes and quotation marks: none is a combining mark.
 ALPHABET = (range(0x21, 0x7F), range(0xA1, 0x250), range(0x370, 0x483), range(0x48A, 0x530), range(0x2010, 0x2028), range(0x2030, 0x205F))
 
+#: White space that may stand between pieces of known characters.
+SPACES = r" \t\n\r"
+
 
 def byte_letters() -> list[str]:
     """The printable character that stands for each byte: printable Latin-1 itself, the rest from U+0100 on."""
@@ -91,11 +94,13 @@ class WordBpe:
         letters = byte_letters()
         self.letters = dict(enumerate(letters))
         self.known, self.pattern = self.alphabet(pattern)
+        self.of_known = re.compile(f"[{''.join(map(re.escape, sorted(self.known)))}{SPACES}]*")
         self.first = {c: vocab.get(c, -1) for c in letters}
         self.last = {c: vocab.get(c + self.end, -1) for c in letters}
         self.ranks = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(map(tuple, spec["model"]["merges"]))}
-        self.pieces = Cache(CACHED_WORDS)
-        self.pieces.make = self.piece
+        # pieces as the letters of their bytes, and pieces of known characters as they are
+        self.pieces, self.own = Cache(CACHED_WORDS), Cache(CACHED_WORDS)
+        self.pieces.make, self.own.make = self.piece, lambda piece: self.piece(self.as_letters(piece))
         self.words = Cache(CACHED_WORDS)
         self.words.make = self.word
 
@@ -117,35 +122,40 @@ class WordBpe:
         single = "".join(re.escape(c) for c in low if pieces(f"a{c}{c}a") == 4)
         return frozenset(known), re.compile(pattern.replace(r"[\p{L}]", f"[{inner}]").replace(r"[\p{N}]", f"[{single}]").replace(r"\p{L}", inner).replace(r"\p{N}", single), re.ASCII)
 
-    def cut_up(self, text: str) -> list[str]:
-        """Normalised pieces of a stretch without special tokens, as the letters of their bytes."""
-        if self.known.issuperset(text):
-            # printable ASCII stands for itself
-            return [p if p.isascii() else p.encode().decode("latin-1").translate(self.letters) for p in self.pattern.findall(text.lower())]
-        return [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))]
+    def as_letters(self, piece: str) -> str:
+        """The letters of a piece's bytes; printable ASCII stands for itself."""
+        return piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
 
-    def plain(self, text: str) -> list[int]:
-        out: list[int] = []
-        for piece in self.cut_up(text):
-            out.extend(self.pieces[piece])
-        return out
+    def own_pieces(self, text: str) -> list[str] | None:
+        """Normalised pieces of a text that has known characters and white space only and no special tokens, else None.
+
+        Known characters don't compose and white space parts pieces, so the whole text is cut at once.
+        """
+        if self.of_known.fullmatch(text) is None or any(s in text for s in self.special):
+            return None
+        return self.pattern.findall(text.lower())
+
+    def plain(self, text: str) -> Iterator[int]:
+        """Ids of a stretch without special tokens, normalised and cut by the library."""
+        cut = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+        return chain.from_iterable(self.pieces[p] for p, _ in cut)
 
     def word(self, word: str) -> tuple[int, ...]:
         """Ids of a stretch of text without spaces and line feeds; such stretches are independent."""
-        if self.cut is None or "<" not in word:
-            return tuple(self.plain(word))
+        pieces = self.own_pieces(word)
+        if pieces is not None:
+            return tuple(chain.from_iterable(map(self.own.__getitem__, pieces)))
         out: list[int] = []
-        for part in self.cut.split(word):
+        for part in self.cut.split(word) if self.cut else [word]:
             out.extend([self.special[part]] if part in self.special else self.plain(part))
         return tuple(out)
 
     def encode(self, text: str | None) -> list[int]:
         """Ids of the whole text; null is empty."""
-        out: list[int] = []
-        add = out.extend
-        for ids in map(self.words.__getitem__, (text or "").replace("\n", " ").split(" ")):
-            add(ids)
-        return out
+        pieces = self.own_pieces(text or "")
+        if pieces is not None:
+            return list(chain.from_iterable(map(self.own.__getitem__, pieces)))
+        return list(chain.from_iterable(map(self.words.__getitem__, text.replace("\n", " ").split(" "))))
 
     def decode(self, ids: list[int]) -> str:
         """The vocabulary's strings in order; without a decoder the library sets spaces between them."""

@@ -43,30 +43,34 @@ NO_ID = -(1 << 63)
 
 
 class LibraryIds(WordBpe):
-    """Ids by the tokenizers library, as little-endian uint32 in bytes, kept by word and piece.
+    """Ids by the tokenizers library, as little-endian uint32 in bytes, kept by piece and word.
 
-    Stretches between spaces are independent, so a stretch not met yet is encoded by the library alone and kept.
-    Those of known characters are cut into pieces first, and only pieces not met yet go to the library's model.
+    Texts of known characters are cut into pieces at once, and only pieces not met yet go to the library's model. Of
+    other texts the stretches between spaces, which are independent, are encoded one by one, by the library alone where
+    they hold other characters or special tokens.
     """
 
     def __init__(self, path: str):
         super().__init__(path)
         self.model = self.library.model
-        self.pieces, self.words = Cache(CACHED_PIECES), Cache(CACHED_WORDS)
-        self.pieces.make, self.words.make = self.piece_bytes, self.word_bytes
+        self.own, self.words = Cache(CACHED_PIECES), Cache(CACHED_WORDS)
+        self.own.make, self.words.make = self.piece_bytes, self.word_bytes
 
     def piece_bytes(self, piece: str) -> bytes:
-        return array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
+        return array("I", [t.id for t in self.model.tokenize(self.as_letters(piece))]).tobytes()
 
     def word_bytes(self, word: str) -> bytes:
-        if "<" in word or not self.known.issuperset(word):
+        pieces = self.own_pieces(word)
+        if pieces is None:
             return array("I", self.library.encode(word, add_special_tokens=False).ids).tobytes()
-        cut = self.cut_up(word)
-        return self.pieces[cut[0]] if len(cut) == 1 else b"".join([self.pieces[p] for p in cut])
+        return b"".join(map(self.own.__getitem__, pieces))
 
     def bytes_of(self, text: str) -> bytes:
         """Ids of a whole text."""
-        return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
+        pieces = self.own_pieces(text)
+        if pieces is None:
+            return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
+        return b"".join(map(self.own.__getitem__, pieces))
 
 
 def library(path: str) -> LibraryIds:
