@@ -35,7 +35,6 @@ MAGIC = b"TRP1"
 #: at least to get a rule.
 SHARD_IDS, PAIRS_A_ROUND, LEAST_COUNT = 2_000_000, 4096, 8
 CACHED_WORDS, CACHED_PIECES, MOST_READERS = 250_000, 250_000, 10_000
-BUCKETS = 20
 #: Ids of all rules that are expanded beside each other at most; of longer ones symbols are expanded step by step.
 POOL_IDS = 16_000_000
 #: The id under which rows without one are filed, first of all.
@@ -78,29 +77,31 @@ def library(path: str) -> LibraryIds:
 
 
 def frequent_pairs(symbols: np.ndarray, places: np.ndarray, most: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of the pairs that begin at ``places``: (codes left << 32 | right of those to replace, their places, the number
-    of each place's pair, places that may hold a pair of ``least`` or more).
+    """Of the pairs that begin at ``places``: (codes left << 32 | right of those to replace, their places ascending, the
+    number of each place's pair, places of all pairs that occur ``least`` times or more in any order).
 
-    Counts by hash bucket only rule places out; the pairs of all other buckets are counted one by one.
+    Pairs are sorted together with their places in one word of 64 bits where that holds them, else by their order.
     """
-    code = symbols[places].astype(np.uint64) << np.uint64(32) | symbols[places + 1]
-    bucket = ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BUCKETS)).astype(np.int32)
-    full = np.bincount(bucket, minlength=1 << BUCKETS)[bucket] >= least
-    places, code, bucket = places[full], code[full], bucket[full]
-    line = np.sort(code)
-    first = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1]))) if len(line) else np.zeros(0, np.int64)
-    codes, counts = line[first], np.diff(np.concatenate((first, [len(line)])))
-    codes, counts = codes[counts >= least], counts[counts >= least]
+    wide, far = np.uint64(int(symbols.max()).bit_length()), np.uint64(len(symbols).bit_length())
+    low = (np.uint64(1) << wide) - np.uint64(1)
+    code = symbols[places].astype(np.uint64) << wide | symbols[places + 1]
+    if 2 * int(wide) + int(far) <= 64:
+        line = np.sort(code << far | places.astype(np.uint64))
+        code, where = line >> far, (line & ((np.uint64(1) << far) - np.uint64(1))).astype(np.int64)
+    else:
+        order = np.argsort(code, kind="stable")
+        code, where = code[order], places[order]
+    first = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1]))) if len(code) else np.zeros(0, np.int64)
+    counts = np.diff(np.append(first, len(code)))
+    frequent = counts >= least
     # ties at the limit are all taken, so that the choice depends on counts alone
-    chosen = codes if len(codes) <= most else codes[counts >= np.partition(counts, -most)[-most]]
-    flags = np.zeros(1 << BUCKETS, np.uint8)
-    flags[(codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BUCKETS)] = 1
-    flags[(chosen * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BUCKETS)] = 2
-    flag = flags[bucket]
-    at, own = places[flag == 2], code[flag == 2]
-    number = np.minimum(np.searchsorted(chosen, own), max(0, len(chosen) - 1))
-    same = chosen[number] == own if len(own) else np.zeros(0, bool)
-    return chosen, at[same], number[same], places[flag > 0]
+    limit = least if frequent.sum() <= most else np.partition(counts[frequent], -most)[-most]
+    chosen = counts >= limit
+    at, number = where[np.repeat(chosen, counts)], np.repeat(np.arange(int(chosen.sum())), counts[chosen])
+    order = np.sort(at.astype(np.uint64) << np.uint64(32) | number.astype(np.uint64))
+    at, number = (order >> np.uint64(32)).astype(np.int64), (order & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    pairs = code[first[chosen]]
+    return (pairs >> wide) << np.uint64(32) | pairs & low, at, number, where[np.repeat(frequent, counts)]
 
 
 def compress(ids: np.ndarray, ends: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
