@@ -17,6 +17,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from tessera.llm.common import held, sliced
 
@@ -33,12 +34,21 @@ JUDGED_WORDS, OWN_SHARE = 20, 0.3
 CACHED_WORDS = 300_000
 
 
+def spans_of(text: str) -> list[tuple[int, int]]:
+    """(start, end) of runs of letters in order, in code points; longer ones are cut into pieces that overlap by two
+    characters, so that no n-gram is lost."""
+    spans = [m.span() for m in WORDS.finditer(text)]
+    if all(b - a <= LONG_WORD for a, b in spans):
+        return spans
+    return [(i, min(b, i + LONG_WORD)) for a, b in spans for i in range(a, max(a + 1, b - 2), LONG_WORD - 2)]
+
+
 def words_of(text: str) -> list[str]:
-    """Runs of letters in order; longer ones are cut into pieces that overlap by two characters, so that no n-gram is lost."""
+    """The words at ``spans_of``."""
     words = WORDS.findall(text)
     if all(len(w) <= LONG_WORD for w in words):
         return words
-    return [w[i : i + LONG_WORD] for w in words for i in range(0, max(1, len(w) - 2), LONG_WORD - 2)]
+    return [text[a:b] for a, b in spans_of(text)]
 
 
 def features(words: list[str], lexicon: frozenset[str] | set[str]) -> Iterator[tuple[list[int], np.ndarray]]:
@@ -216,30 +226,34 @@ def emission_cache(model: Model) -> Emissions:
     return held(f"crf {crc32(model.weights.tobytes())}", lambda: Emissions(model))
 
 
-def decide(model: Model, texts: list[str | None], emissions: Emissions) -> tuple[list[str], list[float]]:
-    """Language and score of each text; the score is the mean probability of the language over the words."""
-    k = max(1, len(model.labels))
-    found = [words_of(t) if t else [] for t in texts]
+def marginals(model: Model, found: list[list[str]], emissions: Emissions) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Forward-backward over the chains of texts' words, longest chains first: (text of each chain, number of its first
+    word among all words, marginals chains x words x labels, zero behind a chain's end)."""
     lengths, owner = [], []
     for i, words in enumerate(found):
         for start in range(0, len(words), CHAIN):
             lengths.append(min(CHAIN, len(words) - start))
             owner.append(i)
-    total = np.zeros((len(texts), k))
-    if lengths and model.labels:
-        sizes, own = np.array(lengths), np.array(owner)
-        emit = emissions.of(found)
-        first = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-        order = np.argsort(-sizes, kind="stable")
-        for s in range(0, len(order), 4096):
-            part = order[s : s + 4096]
-            n = sizes[part]
-            t = int(n.max())
-            steps = np.arange(t)
-            inside = steps[None, :] < n[:, None]
-            at = np.where(inside, first[part][:, None] + steps[None, :], 0)
-            marginal, _ = forward_backward_marginals(emit[at], n, model.transitions)
-            np.add.at(total, own[part], marginal.sum(axis=1))
+    if not lengths or not model.labels:
+        return
+    sizes, own = np.array(lengths), np.array(owner)
+    emit = emissions.of(found)
+    first = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    order = np.argsort(-sizes, kind="stable")
+    for s in range(0, len(order), 4096):
+        part = order[s : s + 4096]
+        n = sizes[part]
+        steps = np.arange(int(n.max()))
+        inside = steps[None, :] < n[:, None]
+        at = np.where(inside, first[part][:, None] + steps[None, :], 0)
+        yield own[part], first[part], forward_backward_marginals(emit[at], n, model.transitions)[0]
+
+
+def decide(model: Model, texts: list[str | None], emissions: Emissions) -> tuple[list[str], list[float]]:
+    """Language and score of each text; the score is the mean probability of the language over the words."""
+    total = np.zeros((len(texts), max(1, len(model.labels))))
+    for own, _, marginal in marginals(model, [words_of(t) if t else [] for t in texts], emissions):
+        np.add.at(total, own, marginal.sum(axis=1))
     names, scores = [], []
     for i, text in enumerate(texts):
         s = total[i].sum()
@@ -253,6 +267,19 @@ def decide(model: Model, texts: list[str | None], emissions: Emissions) -> tuple
     return names, scores
 
 
+def label_words(model: Model, texts: list[str | None], emissions: Emissions) -> list[list[dict]]:
+    """For each text its words' start and end in code points, likeliest language and that one's probability."""
+    spans = [spans_of(t) if t and model.labels else [] for t in texts]
+    n = sum(map(len, spans))
+    best, share = np.zeros(n, np.int64), np.zeros(n)
+    for _, first, marginal in marginals(model, [[t[a:b] for a, b in own] for t, own in zip(texts, spans, strict=True)], emissions):
+        chain, step = np.nonzero(marginal.any(axis=2))
+        at = first[chain] + step
+        best[at], share[at] = marginal.argmax(axis=2)[chain, step], marginal.max(axis=2)[chain, step]
+    each = iter(zip(best.tolist(), share.tolist(), strict=True))
+    return [[{"start": a, "end": b, "lang": model.labels[k], "score": min(1.0, p)} for (a, b), (k, p) in zip(own, each)] if own else [] for own in spans]
+
+
 def supported(model: Model, texts: list[str | None], emissions: Emissions) -> np.ndarray:
     """Whether words by themselves, without their chain, each tell a language well enough; short texts pass.
 
@@ -327,6 +354,27 @@ def with_language(df: DataFrame, model: Model, text_col: str = "text") -> DataFr
     return rest.mapInArrow(run, rest.select("*").schema.add("lang_pred", "string").add("score", "double"))
 
 
+def with_words(df: DataFrame, model: Model, text_col: str = "text", words_col: str = "words") -> DataFrame:
+    """All rows and columns of ``df`` with the language of each word: an array of (start, end, lang, score).
+
+    Code-switched texts show where they switch. Words longer than LONG_WORD have an entry for each of their pieces.
+    Null texts, texts without a letter and all texts of a model that learned nothing have an empty array. Repeated rows
+    each get a row, empty tables give none; a column named like the new one is replaced.
+    """
+    kept = [c for c in df.columns if c != words_col]
+    rest = df.select(*[df[f"`{c}`"] for c in kept])
+    word = StructType().add("start", "long").add("end", "long").add("lang", "string").add("score", "double")
+    entry = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string()), ("score", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        emissions = emission_cache(model)
+        for batch in sliced(batches, 100):
+            found = label_words(model, batch.column(kept.index(text_col)).to_pylist(), emissions)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(entry))], [*kept, words_col])
+
+    return rest.mapInArrow(run, rest.select("*").schema.add(words_col, ArrayType(word)))
+
+
 def accepted(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """Rows of ``df`` whose text the model names a language for and ``supported`` lets pass.
 

@@ -593,3 +593,32 @@ def test_language_stage_of_the_pipeline_lets_the_model_decide(spark):
     assert sum(i is not None and i >= 1000 for i in kept) <= 2
     without = spark.createDataFrame([(i, t, None) for i, t, _ in rows], "doc_id long, text string, lang string")
     assert {r.doc_id for r in corpus_pipeline.language_id(spark, without, "").collect()} == {i for i, *_ in rows} - {2000, 2001}
+
+
+def test_language_of_words(spark):
+    rng = random.Random(23)
+    model = crf.train([(made_text(rng, lang), lang) for lang in "xy" for _ in range(60)])
+    x, y = made_text(rng, "x"), made_text(rng, "y")
+    long_run = "".join(w for w in x.split())[:300]
+    rows = [(1, f"{x} {y}", 5), (2, None, 6), (3, "", 7), (4, "12 - 34", 8), (5, long_run, 9), (1, f"{x} {y}", 5), (None, y, 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, words long")
+    got = crf.with_words(df, model).collect()
+    assert len(got) == len(rows) and [n for n, _ in got[0].asDict().items()] == ["doc_id", "text", "words"]
+    for r in got:
+        assert [(w.start, w.end) for w in r.words] == crf.spans_of(r.text or "")
+        assert [r.text[w.start : w.end] for w in r.words] == crf.words_of(r.text or "")
+        # the labels and probabilities are those of forward-backward on each chain by itself
+        for i in range(0, len(r.words), crf.CHAIN):
+            part = r.words[i : i + crf.CHAIN]
+            scores = crf.Emissions(model).of([[r.text[w.start : w.end] for w in part]]).astype(float)
+            want, _ = crf.forward_backward(scores[None], np.array([len(part)]), model.transitions)
+            assert [w.lang for w in part] == [model.labels[k] for k in want[0].argmax(axis=1)]
+            assert np.allclose([w.score for w in part], want[0].max(axis=1))
+    by_id = {r.doc_id: r for r in got}
+    assert not by_id[2].words and not by_id[3].words and not by_id[4].words and len(by_id[5].words) > 1
+    switched = by_id[1].words
+    right = sum((w.lang == "x") == (w.start < len(x)) for w in switched)
+    assert right >= 0.9 * len(switched)
+    assert crf.with_words(df.limit(0), model).collect() == []
+    nothing = crf.fit(df.limit(0).selectExpr("*", "'x' AS lang"), "doc_id", "text", "lang")
+    assert all(r.words == [] for r in crf.with_words(df, nothing).collect())
