@@ -113,6 +113,10 @@ def union(parent: dict, a, b) -> None:
         parent[max(a, b)] = min(a, b)
 
 
+#: More edges than that are joined by sorting: files of edges are many times smaller than what a broadcast holds.
+BROADCAST_EDGES = 100_000
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(u long, v long)`` as (id, component), component its least id.
 
@@ -130,11 +134,13 @@ def components(edges: DataFrame) -> DataFrame:
         sign = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if sign[0] == 0 or sign == before:
             return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(now.select("v", "v").distinct())
+        way = "merge" if sign[0] > BROADCAST_EDGES else None
         both = now.union(now.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        upper = both.where("v > u")
+        large = (upper.hint(way) if way else upper).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lower, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(lower).distinct()
+        small = (large.hint(way) if way else large).join(lower, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(lower).distinct()
         after = new_folder(spark, "edges")
         small.write.parquet(after)
         remove(spark, path)

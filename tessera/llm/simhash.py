@@ -155,15 +155,20 @@ def in_blocks(df: DataFrame, size: F.Column, spread: F.Column) -> DataFrame:
     return df.withColumn("bi", F.least("blk", "other")).withColumn("bj", F.greatest("blk", "other")).drop("other", "n_blocks")
 
 
+def dealt_keys(reps: DataFrame) -> DataFrame:
+    """Rows of ``reps(fp, rid)`` for each of their keys that another row has, too: (key, bi, bj, blk, fp, rid), by group."""
+    keys = reps.select(F.explode(ring_keys(F.col("fp"))).alias("key"), "fp", "rid")
+    counts = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    # the plan takes the 40 rows of a fingerprint for one, and would broadcast them all by way of the driver
+    dealt = in_blocks(keys.hint("merge").join(counts, "key"), F.col("n"), F.xxhash64("fp"))
+    return dealt.select("key", "bi", "bj", "blk", "fp", "rid").repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
+
+
 def classes(fps: DataFrame) -> DataFrame:
     """(fp, component) of every distinct fingerprint of ``fps(id, fp)``: the least id of what links reach."""
     reps = written(fps.groupBy("fp").agg(F.min("id").alias("rid")).where("rid is not null"), "reps")
-    keys = reps.select(F.explode(ring_keys(F.col("fp"))).alias("key"), "fp", "rid")
-    counts = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    dealt = in_blocks(keys.join(counts, "key"), F.col("n"), F.xxhash64("fp"))
-    dealt = dealt.select("key", "bi", "bj", "blk", "fp", "rid").repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
-    found = components(dealt.mapInArrow(group_edges, "u long, v long"))
-    return reps.join(found, reps.rid == found.id, "left").select("fp", F.coalesce("component", "rid").alias("component"))
+    found = components(dealt_keys(reps).mapInArrow(group_edges, "u long, v long"))
+    return reps.hint("merge").join(found, reps.rid == found.id, "left").select("fp", F.coalesce("component", "rid").alias("component"))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:

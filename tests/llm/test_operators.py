@@ -8,10 +8,11 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from tessera.llm import bpe, crf, mixing, multiset, rabitq, repair, secrets, simhash, toxicity, warc
+from tessera.llm import bpe, common, crf, mixing, multiset, rabitq, repair, secrets, simhash, toxicity, warc
 from tessera.llm.common import components
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -505,6 +506,14 @@ def test_keep_one_finds_all_likeness_of_0_8(spark, monkeypatch):
     assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == sorted({find(i) for i in range(len(texts))})
 
 
+def test_simhash_keys_are_never_broadcast(spark, monkeypatch):
+    """40 rows of each fingerprint, which the planner takes for one: from 0.6 GB on they were more than the driver's heap."""
+    reps = spark.range(3000).select(F.xxhash64("id").alias("fp"), F.col("id").alias("rid"))
+    assert "Broadcast" not in simhash.dealt_keys(reps)._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(common, "BROADCAST_EDGES", 10)
+    assert dict(components(spark.range(50).selectExpr("id + 1 as u", "id as v")).collect()) == dict.fromkeys(range(51), 0)
+
+
 CLASH = "doc_id long, text string, source string, __h string, __id string, __at string, __position string, __spans string, __key string, h string, id string, key string, n string, row string, fp string"
 
 
