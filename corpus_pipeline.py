@@ -20,7 +20,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: sets of five-word shingles of likeness 0.8 or more."""
+    """One document of each group of near copies stays: sets of five-word shingles of likeness 0.8 or more, linked by SimHash
+    fingerprints through the ring and checked exactly; what 4 bits don't tell is found by rare shingles."""
     return simhash.keep_one(docs, words=5)
 
 

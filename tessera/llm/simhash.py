@@ -7,8 +7,9 @@ of the four segments after the start, one of five pairs of segments is equal, to
 filed under 8 starts x 5 pairs, a key of 24 equal bits; the whole chain condition prunes the pairs of a key
 before the full Hamming distance is taken.
 
-``keep_one`` asks for more than 4 bits can tell: texts of likeness 0.8 differ in about 10 of 64 bits, where no
-segments need be equal. Its pairs come from the texts' rarest shingles, without loss, and are compared exactly.
+``keep_one`` takes fingerprints of the texts' distinct words through the same ring: four in five pairs of texts of
+likeness 0.8 and more in five-word shingles differ in at most 4 bits there (0.17 by shingles). What it links is checked
+exactly. 4 bits can't tell the rest, so texts that share a rare shingle and are apart still are compared, without loss.
 """
 
 from __future__ import annotations
@@ -57,6 +58,15 @@ def fingerprint(text: str | None, words: int = 4, chunk: int = 65536) -> int:
     return int(np.packbits(ones * 2 > len(starts), bitorder="little").view(np.uint64)[0])
 
 
+def word_fingerprint(parts: list[bytes]) -> int:
+    """64-bit SimHash of the distinct words; no words: zero."""
+    if not parts:
+        return 0
+    hashes = np.array([xxhash.xxh64_intdigest(w, 42) for w in set(parts)], np.uint64)
+    ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
     """(id, fp long) of every row, repeated ones too; null texts count as empty, ids that are null stay null."""
 
@@ -107,8 +117,10 @@ def pairs_of(n: int, block: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.
         yield left[keep], right[keep]
 
 
-def group_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (key, bi, bj): of each group the edges of a spanning forest of its links, so fewer than rows."""
+def group_edges(batches: Iterator[pa.RecordBatch], own: bool = False) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (key, bi, bj): of each group the edges of a spanning forest of its links, so fewer than rows.
+
+    Edges go to each tree's least row; with ``own`` they are links themselves."""
     names = ("key", "bi", "bj", "blk", "fp", "rid")
     held: list[np.ndarray] | None = None
 
@@ -125,8 +137,11 @@ def group_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for left, right in pairs_of(b - a, None if bi[a] == bj[a] else blk[a:b]):
                 left, right = linked(fps[a:b], start, left, right)
                 for x, y in zip(rid[a:b][left].tolist(), rid[a:b][right].tolist(), strict=True):
+                    if own and find(parent, x) != find(parent, y):
+                        u.append(x)
+                        v.append(y)
                     union(parent, x, y)
-            for x in list(parent):
+            for x in () if own else list(parent):
                 if (root := find(parent, x)) != x:
                     u.append(x)
                     v.append(root)
@@ -183,9 +198,16 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return fps.join(of, "fp", "left").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def words_in(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").translate(UPPER_TO_LOWER).split()
+
+
 def shingle_set(text: str | None, words: int) -> np.ndarray:
     """Distinct hashes of the text's word shingles, ascending; fewer words than that make one shingle, none make none."""
-    parts = (text or "").encode("utf-8", "surrogatepass").translate(UPPER_TO_LOWER).split()
+    return shingles_of(words_in(text), words)
+
+
+def shingles_of(parts: list[bytes], words: int) -> np.ndarray:
     of = xxhash.xxh64_intdigest
     if len(parts) <= words:
         return np.array([of(b" ".join(parts), 42)] if parts else [], np.uint64)
@@ -335,39 +357,63 @@ def alike(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     return out
 
 
+def simhash_links(reps: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """Pairs (u, v) of ids of ``reps(rid, fp)`` whose texts have likeness 0.8 or more, exactly: of fingerprints that differ in
+    at most 4 bits a spanning forest of each key's links, and the first row of each fingerprint with the others."""
+    firsts = written(reps.groupBy("fp").agg(F.min("rid").alias("rid")), "firsts")
+    same = reps.hint("merge").join(firsts.withColumnRenamed("rid", "u"), "fp").where("rid <> u").select("u", F.col("rid").alias("v"))
+    found = dealt_keys(firsts).mapInArrow(lambda batches: group_edges(batches, own=True), "u long, v long")
+    return alike(same.union(found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))), texts, words)
+
+
+def apart(pairs: DataFrame, part: DataFrame) -> DataFrame:
+    """Distinct pairs (u, v) whose ends aren't in one component of ``part(id, component)``."""
+    pairs = pairs.distinct()
+    for end in ("u", "v"):
+        pairs = pairs.hint("merge").join(part.select(F.col("id").alias(end), F.col("component").alias(f"{end}_c")), end, "left")
+    return pairs.where(F.coalesce("u_c", "u") != F.coalesce("v_c", "v")).select("u", "v")
+
+
 def like_classes(df: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
     """(id, component) of rows with an id: the least id of what pairs of likeness 0.8 or more reach.
 
-    Texts with one set of shingles are one class. Of the others every pair of that likeness shares a key of ``prefix``.
-    The first row of each key is compared with the key's others; then, of what is in different components still, all.
+    Texts with one set of shingles are one class. Of the others SimHash links what its bits tell, checked exactly; and every
+    pair of that likeness shares a key of ``prefix``. Of what is in different components still, the first row of each key
+    is compared with the key's others; then all.
     """
     texts = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).where("id is not null")
     hot, counts = common_shingles(texts, "text", words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 200):
-            sets = [shingle_set(t, words) for t in batch.column(1).to_pylist()]
+            parts = [words_in(t) for t in batch.column(1).to_pylist()]
+            fps = np.array([word_fingerprint(p) for p in parts], np.uint64).view(np.int64)
+            sets = [shingles_of(p, words) for p in parts]
             digests = [xxhash.xxh128_digest(s.tobytes()) for s in sets]
             keys = [prefix(s, hot, counts).view(np.int64) for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["id", "digest", "n", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(fps), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["id", "digest", "fp", "n", "keys"])
 
     spark, folder = df.sparkSession, new_folder(df.sparkSession, "shingles")
-    own = texts.mapInArrow(run, "id long, digest binary, n long, keys array<long>")
+    own = texts.mapInArrow(run, "id long, digest binary, fp long, n long, keys array<long>")
     own.write.parquet(folder)
     own = spark.read.schema(own.schema).parquet(folder)
-    of = written(own.groupBy("digest").agg(F.min("id").alias("rid")), "reps")
+    # one set of shingles has one set of words, so one fingerprint
+    of = written(own.groupBy("digest").agg(F.min("id").alias("rid"), F.min("fp").alias("fp")), "reps")
     # a class's keys are those of its representative; a repeated id's further rows with the set repeat them
-    reps = own.join(of, "digest").where("id = rid").select(F.explode("keys").alias("key"), "rid", "n")
+    reps = own.join(of.select("digest", "rid"), "digest").where("id = rid").select(F.explode("keys").alias("key"), "rid", "n")
     shared = reps.repartition("key").sortWithinPartitions("key", "rid").mapInArrow(shared_keys, "key long, rid long, n long, size long, first long, first_n long")
     shared = written(shared, "shared")
     # of the sets only each id's representative is needed from here on
-    named = written(own.select("id", "digest").join(of, "digest").select("id", "rid"), "named")
+    named = written(own.select("id", "digest").join(of.select("digest", "rid"), "digest").select("id", "rid"), "named")
     del reps, own
     remove(spark, folder)
     collected(spark)
     num, den = LIKE
     near = F.least("n", "first_n") * den >= F.greatest("n", "first_n") * num
-    known = alike(shared.where((F.col("rid") != F.col("first")) & near).select(F.col("first").alias("u"), F.col("rid").alias("v")), texts, words)
+    linked = simhash_links(of.select("rid", "fp"), texts, words)
+    collected(spark)
+    firsts = shared.where((F.col("rid") != F.col("first")) & near).select(F.col("first").alias("u"), F.col("rid").alias("v"))
+    known = linked.union(alike(apart(firsts, components(linked)), texts, words))
     collected(spark)
     part = components(known)
     rest = shared.join(part, shared.rid == part.id, "left").withColumn("component", F.coalesce("component", "rid")).drop("id")
