@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 import tempfile
@@ -148,10 +149,23 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    """The same rows in smaller batches, so that only so many texts are Python objects at once."""
+    """The same rows in smaller batches, so that only so many texts are Python objects at once.
+
+    What Arrow keeps of batches before is given back to the system, as workers share a machine's memory."""
+    pool = pa.default_memory_pool()
     for batch in batches:
+        pool.release_unused()
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+    pool.release_unused()
+
+
+def trim() -> None:
+    """Give memory that nothing uses back to the system, where the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
 
 
 _HELD: dict[str, object] = {}
@@ -161,7 +175,7 @@ def held(name: str, make):
     """What a worker keeps between tasks: one thing at a time, so that operators' caches don't add up."""
     if name not in _HELD:
         _HELD.clear()
-        gc.collect()
+        trim()
         _HELD[name] = make()
     return _HELD[name]
 

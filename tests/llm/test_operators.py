@@ -540,6 +540,22 @@ def test_keep_one_links_by_simhash_first(spark, monkeypatch):
     assert asked
 
 
+def test_workers_give_memory_back(monkeypatch):
+    """Arrow's pool and the C library keep freed memory; a worker gives it back between batches and between operators."""
+    calls = []
+
+    class Pool:
+        def release_unused(self):
+            calls.append("pool")
+
+    monkeypatch.setattr(common.pa, "default_memory_pool", Pool)
+    batches = [common.pa.RecordBatch.from_pydict({"x": list(range(5))}) for _ in range(3)]
+    assert [b.num_rows for b in common.sliced(iter(batches), 2)] == [2, 2, 1] * 3 and len(calls) >= 3
+    monkeypatch.setattr(common, "_HELD", {"one": object()})
+    before = len(calls)
+    assert common.held("two", lambda: 2) == 2 and list(common._HELD) == ["two"] and len(calls) > before
+
+
 CLASH = "doc_id long, text string, source string, __h string, __id string, __at string, __position string, __spans string, __key string, h string, id string, key string, n string, row string, fp string"
 
 
