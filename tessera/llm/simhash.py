@@ -244,20 +244,49 @@ def prefix(own: np.ndarray, hot: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return own[np.lexsort((own, often))[: len(own) - need + 1]]
 
 
+def may_be_like(n, pos, other_n, other_pos):
+    """Whether sets of n shingles that have a key at ``pos`` of their order can have likeness 0.8 or more, if it is the first
+    they share: all they share is from there on. Of likely pairs that holds at their first key, so none is lost. For columns and arrays."""
+    num, den = LIKE
+    # 4 / 5 of the union is 4 / 9 of both sizes
+    enough, sizes = (n + other_n) * num, num + den
+    return ((n - pos) * sizes >= enough) & ((other_n - other_pos) * sizes >= enough) & (n * den >= other_n * num) & (other_n * den >= n * num)
+
+
 def shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (key, rid, n) sorted by key those whose key has several, with the key's number of rows and its first row."""
+    """Of rows (key, rid, n, pos) sorted by key and pos those that may be like another of their key by size and place, with
+    the key's number of such rows and its first: the one with the fewest rarer shingles, which is like most others."""
+    num, den = LIKE
     kept: list[np.ndarray] | None = None
 
-    def groups(cols: list[np.ndarray]) -> pa.RecordBatch:
-        key, rid, n = cols
+    def starts(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         start = np.flatnonzero(np.concatenate(([True], np.diff(key) != 0)))
-        size = np.diff(np.concatenate((start, [len(key)])))
-        many, head, rows = np.repeat(size > 1, size), np.repeat(start, size), np.repeat(size, size)
-        out = [key[many], rid[many], n[many], rows[many], rid[head[many]], n[head[many]]]
-        return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in out], ["key", "rid", "n", "size", "first", "first_n"])
+        return start, np.diff(np.concatenate((start, [len(key)])))
+
+    def several(cols: list[np.ndarray]) -> list[np.ndarray]:
+        size = starts(cols[0])[1] if len(cols[0]) else np.zeros(0, np.int64)
+        return [x[np.repeat(size > 1, size)] for x in cols]
+
+    def placed(cols: list[np.ndarray]) -> list[np.ndarray]:
+        """Without rows that are too far on even for the key's least set that is large enough for them."""
+        key, _, n, pos = cols
+        if not len(key):
+            return cols
+        start, size = starts(key)
+        group = np.repeat(np.arange(len(start)), size) * (int(n.max()) + 1)
+        sizes = np.sort(group + n)
+        least = sizes[np.searchsorted(sizes, group - -num * n // den)] - group
+        return [x[(n - pos) * (num + den) >= (n + least) * num] for x in cols]
+
+    def groups(cols: list[np.ndarray]) -> pa.RecordBatch:
+        key, rid, n, pos = several(placed(several(cols)))
+        start, size = starts(key) if len(key) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        head, rows = np.repeat(start, size), np.repeat(size, size)
+        out = [key, rid, n, pos, rows, rid[head], n[head], pos[head]]
+        return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in out], ["key", "rid", "n", "pos", "size", "first", "first_n", "first_pos"])
 
     for batch in batches:
-        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+        cols = [batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)]
         if kept is not None:
             cols = [np.concatenate(x) for x in zip(kept, cols, strict=True)]
         if not len(cols[0]):
@@ -271,19 +300,28 @@ def shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (u, v) of each (key, bi, bj) whose sizes allow likeness 0.8, of different components, neither the key's first."""
-    num, den = LIKE
-    names = ("key", "bi", "bj", "blk", "rid", "n", "component", "first")
+    """Pairs (u, v) of each (key, bi, bj) whose sizes and places allow likeness 0.8, of different components, neither the key's
+    first. Rows of the commonest component are met with the others only."""
+    names = ("key", "bi", "bj", "blk", "rid", "n", "pos", "component", "first")
     kept: list[np.ndarray] | None = None
 
     def pairs(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        key, bi, bj, blk, rid, n, component, first = cols
+        key, bi, bj, blk, rid, n, pos, component, first = cols
         change = np.flatnonzero((np.diff(key) != 0) | (np.diff(bi) != 0) | (np.diff(bj) != 0)) + 1
         for a, b in zip(np.concatenate(([0], change)), np.concatenate((change, [len(key)])), strict=True):
-            r, m, c, f = rid[a:b], n[a:b], component[a:b], first[a:b]
-            for left, right in pairs_of(b - a, None if bi[a] == bj[a] else blk[a:b]):
-                keep = (c[left] != c[right]) & (r[left] != f[left]) & (r[right] != f[right])
-                keep &= den * np.minimum(m[left], m[right]) >= num * np.maximum(m[left], m[right])
+            r, m, p, c, k = (x[a:b][rid[a:b] != first[a:b]] for x in (rid, n, pos, component, blk))
+            if not len(r):
+                continue
+            which, count = np.unique(c, return_counts=True)
+            most = c == which[np.argmax(count)]
+            others, rows = np.flatnonzero(~most), np.arange(len(r))
+            for i in range(0, len(others), 256):
+                left, right = np.broadcast_arrays(others[i : i + 256, None], rows[None, :])
+                keep = (c[left] != c[right]) & (most[right] | (left < right))
+                if bi[a] != bj[a]:
+                    keep &= k[left] != k[right]
+                left, right = left[keep], right[keep]
+                keep = may_be_like(m[left], p[left], m[right], p[right])
                 if keep.any():
                     x, y = r[left[keep]], r[right[keep]]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["u", "v"])
@@ -378,8 +416,9 @@ def like_classes(df: DataFrame, id_col: str, text_col: str, words: int) -> DataF
     """(id, component) of rows with an id: the least id of what pairs of likeness 0.8 or more reach.
 
     Texts with one set of shingles are one class. Of the others SimHash links what its bits tell, checked exactly; and every
-    pair of that likeness shares a key of ``prefix``. Of what is in different components still, the first row of each key
-    is compared with the key's others; then all.
+    pair of that likeness shares a key of ``prefix``, the first of which is near enough to the start of both (may_be_like).
+    Of what is in different components still, the row with each key nearest to its start is compared with the key's others;
+    then all.
     """
     texts = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).where("id is not null")
     hot, counts = common_shingles(texts, "text", words)
@@ -400,16 +439,15 @@ def like_classes(df: DataFrame, id_col: str, text_col: str, words: int) -> DataF
     # one set of shingles has one set of words, so one fingerprint
     of = written(own.groupBy("digest").agg(F.min("id").alias("rid"), F.min("fp").alias("fp")), "reps")
     # a class's keys are those of its representative; a repeated id's further rows with the set repeat them
-    reps = own.join(of.select("digest", "rid"), "digest").where("id = rid").select(F.explode("keys").alias("key"), "rid", "n")
-    shared = reps.repartition("key").sortWithinPartitions("key", "rid").mapInArrow(shared_keys, "key long, rid long, n long, size long, first long, first_n long")
+    reps = own.join(of.select("digest", "rid"), "digest").where("id = rid").select(F.posexplode("keys").alias("pos", "key"), "rid", "n").select("key", "rid", "n", "pos")
+    shared = reps.repartition("key").sortWithinPartitions("key", "pos", "rid").mapInArrow(shared_keys, "key long, rid long, n long, pos long, size long, first long, first_n long, first_pos long")
     shared = written(shared, "shared")
     # of the sets only each id's representative is needed from here on
     named = written(own.select("id", "digest").join(of.select("digest", "rid"), "digest").select("id", "rid"), "named")
     del reps, own
     remove(spark, folder)
     collected(spark)
-    num, den = LIKE
-    near = F.least("n", "first_n") * den >= F.greatest("n", "first_n") * num
+    near = may_be_like(*(F.col(c) for c in ("n", "pos", "first_n", "first_pos")))
     linked = simhash_links(of.select("rid", "fp"), texts, words)
     collected(spark)
     firsts = shared.where((F.col("rid") != F.col("first")) & near).select(F.col("first").alias("u"), F.col("rid").alias("v"))
@@ -419,7 +457,7 @@ def like_classes(df: DataFrame, id_col: str, text_col: str, words: int) -> DataF
     rest = shared.join(part, shared.rid == part.id, "left").withColumn("component", F.coalesce("component", "rid")).drop("id")
     several = rest.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c <> d").select("key")
     dealt = in_blocks(rest.join(several, "key", "left_semi"), F.col("size"), F.xxhash64("rid"))
-    dealt = dealt.select("key", "bi", "bj", "blk", "rid", "n", "component", "first").repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
+    dealt = dealt.select("key", "bi", "bj", "blk", "rid", "n", "pos", "component", "first").repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
     found = components(known.union(alike(dealt.mapInArrow(open_pairs, "u long, v long"), texts, words)))
     del dealt, several, rest, part
     collected(spark)

@@ -506,6 +506,52 @@ def test_keep_one_finds_all_likeness_of_0_8(spark, monkeypatch):
     assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == sorted({find(i) for i in range(len(texts))})
 
 
+def test_keep_one_meets_few_pairs_of_a_large_group(spark, monkeypatch):
+    """Variants of one text share its shingles, and most of them only those far on: the pairs met don't grow with their square."""
+    rng = random.Random(19)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    base, texts = [word() for _ in range(150)], []
+    for k in range(300):
+        copy = list(base)
+        for i in rng.sample(range(150), k % 10):
+            copy[i] = word()
+        texts.append(" ".join(copy))
+    sets = [set(simhash.shingle_set(t, 5).tolist()) for t in texts]
+    parent = {}
+    for i in range(300):
+        for j in range(i + 1):
+            if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
+                common.union(parent, i, j)
+    met, real = [], simhash.alike
+    monkeypatch.setattr(simhash, "alike", lambda pairs, *a: met.append(pairs.count()) or real(pairs, *a))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == sorted({common.find(parent, i) for i in range(300)})
+    assert 100 < len({common.find(parent, i) for i in range(300)}) < 250 and met[-1] <= 10 * len(texts)
+
+
+def test_places_of_keys_lose_no_pair():
+    """Sets of all sizes that share much or little: each pair of likeness 0.8 or more shares a key where it is met."""
+    rng = random.Random(23)
+    sets, hot, batch = [], np.arange(0, 400, 7, dtype=np.uint64), simhash.pa.RecordBatch.from_pydict
+    for _ in range(60):
+        base = rng.sample(range(4000), rng.choice([1, 2, 5, 9, 10, 40, 90]))
+        for _ in range(6):
+            kept = rng.sample(base, max(1, len(base) - rng.randint(0, len(base) // 8 + 1)))
+            sets.append(np.unique(np.array(kept + rng.sample(range(4000), rng.randint(0, len(base) // 8)), np.uint64)))
+    rows = sorted((int(k), p, i, len(s)) for i, s in enumerate(sets) for p, k in enumerate(simhash.prefix(s, hot, hot[::-1] + np.uint64(1))))
+    batches = [batch(dict(zip(("key", "pos", "rid", "n"), map(list, zip(*rows[i : i + 50], strict=True)), strict=True))).select(["key", "rid", "n", "pos"]) for i in range(0, len(rows), 50)]
+    shared = [r for b in simhash.shared_keys(iter(batches)) for r in b.to_pylist()]
+    met = {tuple(sorted((r["rid"], r["first"]))) for r in shared if r["rid"] != r["first"] and simhash.may_be_like(r["n"], r["pos"], r["first_n"], r["first_pos"])}
+    dealt = [r | {"bi": 0, "bj": 0, "blk": 0, "component": r["rid"]} for r in shared]
+    names = ("key", "bi", "bj", "blk", "rid", "n", "pos", "component", "first")
+    for b in simhash.open_pairs(batch({c: [r[c] for r in dealt[i : i + 50]] for c in names}) for i in range(0, len(dealt), 50)):
+        met |= set(zip(*b.to_pydict().values(), strict=True))
+    own = [set(s.tolist()) for s in sets]
+    like = {(i, j) for j in range(len(own)) for i in range(j) if 10 * len(own[i] & own[j]) >= 8 * len(own[i] | own[j])}
+    every = {(i, j) for j in range(len(own)) for i in range(j) if own[i] & own[j]}
+    assert len(like) > 200 and like <= met and 4 * len(met) < len(every)
+
+
 def test_simhash_keys_are_never_broadcast(spark, monkeypatch):
     """40 rows of each fingerprint, which the planner takes for one: from 0.6 GB on they were more than the driver's heap."""
     reps = spark.range(3000).select(F.xxhash64("id").alias("fp"), F.col("id").alias("rid"))
